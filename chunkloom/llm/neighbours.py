@@ -13,21 +13,26 @@ before hashing and are put back from the first k + 1 members of each class.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CODED = "code binary, cls binary, vec binary"
-_BEST = "cls binary, best array<struct<distance:double,cls:binary>>"
+_CODED = "code binary, vec binary"
+#: a candidate is packed as its distance (big-endian double, which sorts as bytes since it isn't negative) and its class
+_BEST = "cls binary, best binary"
+_RECORD = np.dtype([("distance", ">f8"), ("cls", "S16")])
 
 
-def _unit_rows(dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    import hashlib
+def _class(vec: bytes) -> bytes:
+    return hashlib.md5(vec, usedforsecurity=False).digest()
+
 
+def _unit_rows(dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column("vector")
@@ -40,7 +45,7 @@ def _unit_rows(dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 unit = (rows / np.linalg.norm(rows, axis=1, keepdims=True) + 0.0).astype(np.float32)  # + 0.0: no -0.0
             packed = [u.tobytes() for u in unit]
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.string()), pa.array([hashlib.md5(p).digest() for p in packed], pa.binary()), pa.array(packed, pa.binary())],
+                [ids.cast(pa.string()), pa.array([_class(p) for p in packed], pa.binary()), pa.array(packed, pa.binary())],
                 names=["point_id", "cls", "vec"],
             )
 
@@ -123,7 +128,7 @@ def _hash(family: CrossPolytope):
             for t, code in family.codes(x):
                 prefix = t.to_bytes(2, "big")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([prefix + c.tobytes() for c in code], pa.binary()), batch.column("cls"), batch.column("vec")], names=["code", "cls", "vec"]
+                    [pa.array([prefix + c.tobytes() for c in code], pa.binary()), batch.column("vec")], names=["code", "vec"]
                 )
 
     return run
@@ -132,7 +137,7 @@ def _hash(family: CrossPolytope):
 def _rerank(dim: int, k: int, prefix: int, block: int = 1024):
     """Within one range: the exact best k of every row among the rows of its bucket, in blocks of bounded memory."""
 
-    def bucket(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def bucket(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keep = min(k, len(x) - 1)
         near, far = [], []
         for lo in range(0, len(x), block):
@@ -156,49 +161,58 @@ def _rerank(dim: int, k: int, prefix: int, block: int = 1024):
             order = np.lexsort((ids[best], dist), axis=1)[:, :keep]
             near.append(np.take_along_axis(best, order, 1))
             far.append(np.take_along_axis(dist, order, 1))
-        return np.concatenate(near), np.concatenate(far), np.full(len(x), keep)
+        return np.concatenate(near), np.concatenate(far)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = pa.Table.from_batches([b for b in batches if b.num_rows] or [], schema=pa.schema([("code", pa.binary()), ("cls", pa.binary()), ("vec", pa.binary())]))
-        if not read.num_rows:
+        code, vec = [], []
+        for batch in batches:
+            code += batch.column("code").to_pylist()
+            vec += batch.column("vec").to_pylist()
+        if not code:
             return
-        x = np.frombuffer(b"".join(read.column("vec").to_pylist()), np.float32).reshape(-1, dim)
-        ids = np.array(read.column("cls").to_pylist(), dtype="S16")
-        code = np.array([c[:prefix] for c in read.column("code").to_pylist()], dtype=f"V{prefix}")
+        x = np.frombuffer(b"".join(vec), np.float32).reshape(-1, dim)
+        full = np.array([_class(v) for v in vec] + [None], dtype=object)[:-1]
+        ids = full.astype("S16")
+        code = np.array([c[:prefix] for c in code], dtype=f"V{prefix}")
         starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-        kind = pa.struct([("distance", pa.float64()), ("cls", pa.binary())])
-        rows, near, far, sizes = [], [], [], []
+        rows: list[bytes] = []
+        packed: list[bytes] = []
 
         def flush() -> pa.RecordBatch:
-            at = np.concatenate(near)
-            offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
-            lists = pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(np.concatenate(far)), pa.array(full[at], pa.binary())], fields=list(kind))
-            )
-            return pa.RecordBatch.from_arrays([pa.array(full[np.concatenate(rows)], pa.binary()), lists], names=["cls", "best"])
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(packed, pa.binary())], names=["cls", "best"])
 
-        full = np.array(read.column("cls").to_pylist(), dtype=object)
-        pending = 0
         for lo, hi in zip(starts, [*starts[1:], len(x)]):
             _, once = np.unique(ids[lo:hi], return_index=True)  # a class may enter a bucket only once
             at = lo + np.sort(once)
             if len(at) < 2:
                 continue
-            n, d, size = bucket(x[at], ids[at])
-            rows.append(at)
-            near.append(at[n].ravel())
-            far.append(d.ravel())
-            sizes.append(size)
-            pending += len(at)
-            if pending >= 10_000:
+            near, far = bucket(x[at], ids[at])
+            records = np.empty(near.shape, _RECORD)
+            records["distance"], records["cls"] = np.maximum(far, 0.0), ids[at][near]
+            rows += full[at].tolist()
+            packed += [r.tobytes() for r in records]
+            if len(rows) >= 10_000:
                 yield flush()
-                rows, near, far, sizes, pending = [], [], [], [], 0
-        if pending:
+                rows, packed = [], []
+        if rows:
             yield flush()
 
     return run
 
 
+def _records(packed: Column) -> Column:
+    size = _RECORD.itemsize
+    return F.transform(F.sequence(F.lit(0), (F.octet_length(packed) / size - 1).cast("int")), lambda i: F.substring(packed, (i * size + 1).cast("int"), F.lit(size)))
+
+
+def _distance(packed: Column) -> Column:
+    """The double that a big-endian one's bytes stand for; 0 for no bytes (a copy)."""
+    bits = F.conv(F.hex(packed), 16, 10).cast("decimal(20,0)").cast("long")
+    exponent = F.shiftright(bits, 52)
+    fraction = bits.bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / float(1 << 52)
+    return F.when((F.octet_length(packed) == 0) | (exponent == 0), 0.0).otherwise((fraction + 1) * F.pow(F.lit(2.0), exponent - 1023))
+
+
 def nearest(
     points: DataFrame,
     *,
@@ -228,18 +242,19 @@ def nearest(
     coded = reps.mapInArrow(_hash(family), _CODED)
     best = coded.repartitionByRange(ranges, "code").sortWithinPartitions("code").mapInArrow(_rerank(dim, k, prefix), _BEST)
     # a class has one list per table and probe, so what is collected here is bounded
-    merged = best.groupBy("cls").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
+    records = F.flatten(F.transform(F.collect_list("best"), _records))
+    merged = best.groupBy("cls").agg(F.slice(F.array_sort(F.array_distinct(records)), 1, k).alias("best"))
 
     first_ids = Window.partitionBy("cls").orderBy("point_id")
     # a limit on row_number is applied on the map side too, so a class of many copies never moves as a whole
     heads = members.withColumn("at", F.row_number().over(first_ids)).where(F.col("at") <= k + 1).select("cls", "point_id")
     others = (
         merged.select("cls", F.explode("best").alias("b"))
-        .select(F.col("b.cls").alias("near"), "cls", F.col("b.distance").alias("distance"))
+        .select(F.substring("b", 9, 16).alias("near"), "cls", F.substring("b", 1, 8).alias("far"))
         .join(heads.select(F.col("cls").alias("near"), "point_id"), "near")
-        .select("cls", F.struct("distance", "near", "point_id").alias("c"))
+        .select("cls", F.struct("far", "near", "point_id").alias("c"))
     )
-    copies = heads.select("cls", F.struct(F.lit(-1.0).alias("distance"), F.col("cls").alias("near"), "point_id").alias("c"))
+    copies = heads.select("cls", F.struct(F.lit(b"").alias("far"), F.col("cls").alias("near"), "point_id").alias("c"))
     # at most k lists of k + 1 heads and the class's own heads
     lists = others.unionByName(copies).groupBy("cls").agg(F.array_sort(F.collect_list("c")).alias("c"))
     return (
@@ -249,7 +264,7 @@ def nearest(
         .select(
             "point_id",
             F.col("c.point_id").alias("neighbour_id"),
-            F.greatest(F.col("c.distance"), F.lit(0.0)).alias("distance"),
+            _distance(F.col("c.far")).alias("distance"),
             (F.col("at") + 1).alias("rank"),
         )
     )
