@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chunkloom.llm.neighbours import nearest, neighbour_pairs
+from chunkloom.llm.splitting import split_oversized
 from chunkloom.runtime import table
 
 VECTOR_DIM = 64
@@ -14,9 +15,22 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbour_pairs(table(spark, folder, "chunks"), dim=VECTOR_DIM, k=5)
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_pieces(spark, folder).select("point_id").distinct()
+
+
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split_oversized(_points(spark, folder), "point_id", limit=6000)
+
+
+def _points(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks without their vectors; repeats of a ``point_id`` carry the same text."""
+    return table(spark, folder, "chunks").select("point_id", "text").where("octet_length(text) > 6000").dropDuplicates(["point_id"])
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": "SELECT DISTINCT point_id FROM chunks WHERE strlen(text) > 6000"}
