@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chunkloom.llm.leakage import leaked_items
 from chunkloom.llm.neighbours import nearest, neighbour_pairs
 from chunkloom.llm.splitting import split_oversized
 from chunkloom.runtime import table
@@ -23,6 +24,14 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(_points(spark, folder), "point_id", limit=6000)
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 def _points(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks without their vectors; repeats of a ``point_id`` carry the same text."""
     return table(spark, folder, "chunks").select("point_id", "text").where("octet_length(text) > 6000").dropDuplicates(["point_id"])
