@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chunkloom.llm.leakage import leaked_items
+from chunkloom.llm.mixing import Mixture
 from chunkloom.llm.neighbours import nearest, neighbour_pairs
 from chunkloom.llm.splitting import split_oversized
 from chunkloom.runtime import table
@@ -32,6 +33,14 @@ def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).short_sources()
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).reached()
+
+
 def _points(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks without their vectors; repeats of a ``point_id`` carry the same text."""
     return table(spark, folder, "chunks").select("point_id", "text").where("octet_length(text) > 6000").dropDuplicates(["point_id"])
@@ -42,4 +51,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": "SELECT DISTINCT point_id FROM chunks WHERE strlen(text) > 6000"}
+    return {
+        "p9_found": """
+            WITH s AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS size FROM documents WHERE source IS NOT NULL GROUP BY 1)
+            SELECT t.source FROM mix_targets t LEFT JOIN s USING (source)
+            WHERE coalesce(s.size, 0) * t.max_repeats < t.target_share * (SELECT sum(size) FROM s)""",
+        "p5_found": "SELECT DISTINCT point_id FROM chunks WHERE strlen(text) > 6000",
+    }
