@@ -8,6 +8,7 @@ from chunkloom.llm.leakage import leaked_items
 from chunkloom.llm.mixing import Mixture
 from chunkloom.llm.neighbours import nearest, neighbour_pairs
 from chunkloom.llm.splitting import split_oversized
+from chunkloom.llm.textstats import classify
 from chunkloom.runtime import table
 
 VECTOR_DIM = 64
@@ -41,6 +42,14 @@ def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).reached()
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return classify(table(spark, folder, "documents")).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
+
+
+def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return classify(table(spark, folder, "documents"))
+
+
 def _points(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks without their vectors; repeats of a ``point_id`` carry the same text."""
     return table(spark, folder, "chunks").select("point_id", "text").where("octet_length(text) > 6000").dropDuplicates(["point_id"])
