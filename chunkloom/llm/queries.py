@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chunkloom.llm.history import screen_batches
 from chunkloom.llm.leakage import leaked_items
 from chunkloom.llm.mixing import Mixture
 from chunkloom.llm.neighbours import nearest, neighbour_pairs
@@ -14,6 +15,14 @@ from chunkloom.runtime import table
 VECTOR_DIM = 64
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_held(spark, folder).select("incoming_id").distinct()
+
+
+def p1_held(spark: SparkSession, folder: str) -> DataFrame:
+    return screen_batches(table(spark, folder, "chunks"), table(spark, folder, "incoming_chunks"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbour_pairs(table(spark, folder, "chunks"), dim=VECTOR_DIM, k=5)
 
