@@ -23,12 +23,15 @@ COMMON_WORDS = {
 }
 _COMMON = {lang: frozenset(words) for lang, words in COMMON_WORDS.items()}
 _ANY = frozenset().union(*_COMMON.values())
+_LANGUAGES = {w: tuple(lang for lang, words in _COMMON.items() if w in words) for w in _ANY}
 
 _WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’][^\W\d_]+)*(?!\w)")
+_GAP, _NO_ALNUM, _NO_DIGIT = re.compile(r"\s+"), re.compile(r"[\W_]+"), re.compile(r"\D+")
+_BREAK = re.compile(r"\r\n?|\n")
 _MARK = re.compile(r"\s*(?:[-*+•‣◦▪·–—o]\s|(?:\d{1,4}|[a-zA-Z]|[ivxIVX]{1,5})[.):]\s|\(\w{1,4}\)\s|\[[ xX✓-]?\]\s|#\d+\s)\s*(?:\[[ xX✓-]?\]\s+)?\S")
 _KEYED = re.compile(r"\s*[\w.$/-]+(?:\s[\w.$/-]+){0,2}\s*(?::|=>?|→|->|–|—)\s+\S")
 _RULER = re.compile(r"\s*[-+=|:\s_*~]{4,}$")
-_CELLS = (("|", re.compile(r"\|")), ("\t", re.compile(r"\t")), (";", re.compile(r";")), (",", re.compile(r",")), ("  ", re.compile(r"(?<=\S)\s{2,}(?=\S)")), ("&", re.compile(r"\s&\s")))
+_CELLS = (("|", re.compile(r"\|")), ("\t", re.compile(r"\t")), (";", re.compile(r";")), (",", re.compile(r",")), ("  ", re.compile(r"(?<=\S)\s*  \s*(?=\S)")), ("&", re.compile(r"\s&\s")))
 _HTML_ROW = re.compile(r"</?(?:t[rdh]|table|thead|tbody)\b", re.I)
 _END = re.compile(r"[.!?…:;]['\"”’»)\]*_]*\s*$")
 _SENTENCE_END = re.compile(r"[.!?…]['\"”’»)\]*_]*(?=\s|$)")
@@ -51,55 +54,49 @@ STATISTICS = (
 
 def dominant_language(words: list[str]) -> str:
     """The language whose function words are most frequent; "en" if none occur."""
-    counts = Counter(words)
-    scores = {lang: sum(counts[w] for w in common) for lang, common in _COMMON.items()}
+    scores = dict.fromkeys(_COMMON, 0)
+    for w, n in Counter(filter(_ANY.__contains__, words)).items():
+        for lang in _LANGUAGES[w]:
+            scores[lang] += n
     return max(scores, key=lambda lang: (scores[lang], lang == "en"))
 
 
-def line_kinds(text: str) -> list[tuple[str, int, int, int]]:
-    """``(kind, words, common words, characters)`` of each line that isn't blank.
+def line_kinds(lines: list[str], words: list[list[str]]) -> list[tuple[int, str]]:
+    """``(line, kind)`` of each line that is neither blank nor a ruler, given the lines and their words in lower case.
 
     Kinds: ``prose`` (a line, or a part of a paragraph, with the function words of sentences, not repeated over and
-    over), ``item``, ``row`` and ``other``. Rulers are left out.
+    over), ``item``, ``row`` and ``other``.
     """
-    lines = [line for line in re.split(r"\r\n?|\n", text)]
-    measured: list[tuple[str, list[str], int]] = []
-    for line in lines:
-        words = [w.lower() for w in _WORD.findall(line)]
-        measured.append((line, words, sum(w in _ANY for w in words)))
-    # a row has as many cells as its neighbours, in the same notation
-    cells = [_cells(line) if line.strip() else {} for line in lines]
-    out: list[tuple[str, int, int, int]] = []
-    seen = [i for i, line in enumerate(lines) if line.strip()]
-    times = Counter(line.strip().lower() for line in lines)
+    bare = [line.strip() for line in lines]
+    seen = [i for i, line in enumerate(bare) if line]
+    times = Counter(bare)
+    cells = [_cells(line) for line in bare]
+    out: list[tuple[int, str]] = []
     for at, i in enumerate(seen):
-        line, words, common = measured[i]
+        own = words[i]
+        # a sentence that is said over and over says nothing more
+        if len(own) >= 4 and times[bare[i]] <= 2 and len(_ANY.intersection(own)) and sum(map(_ANY.__contains__, own)) >= 0.2 * len(own):
+            if sum(map(len, own)) >= 0.5 * len(_GAP.sub("", bare[i])):
+                out.append((i, "prose"))
+                continue
+        line = lines[i]
         if _RULER.match(line):
             continue
         near = [seen[j] for j in (at - 2, at - 1, at + 1, at + 2) if 0 <= j < len(seen)]
-        size = len(line.strip())
-        lettered = sum(map(len, words)) >= 0.5 * len("".join(line.split()))
-        told = times[line.strip().lower()] <= 2  # a sentence that is said over and over says nothing more
-        sentence = told and lettered and len(words) >= 4 and common >= max(1, 0.2 * len(words))
-        row = bool(_HTML_ROW.search(line)) or any(
-            n >= 1 and sum(cells[j].get(kind, 0) == n for j in near) >= min(2, len(near)) and len(near) and (n >= 2 or kind in "|\t") for kind, n in cells[i].items()
-        )
-        if row and not sentence:
-            kind = "row"
-        elif sentence:
-            kind = "prose"
-        elif _MARK.match(line):
-            kind = "item"
-        elif _KEYED.match(line) and len(words) <= 12 and any(_KEYED.match(lines[j]) for j in near):
-            kind = "item"
+        # a row has as many cells as its neighbours, in the same notation
+        if (near and any((n >= 2 or kind in "|\t") and sum(cells[j].get(kind) == n for j in near) >= min(2, len(near)) for kind, n in cells[i].items())) or (
+            "<" in line and _HTML_ROW.search(line)
+        ):
+            out.append((i, "row"))
+        elif _MARK.match(line) or (len(own) <= 12 and _KEYED.match(line) and any(_KEYED.match(lines[j]) for j in near)):
+            out.append((i, "item"))
         else:
-            kind = "other"
-        out.append((kind, len(words), common, size))
+            out.append((i, "other"))
     return out
 
 
 def _cells(line: str) -> dict[str, int]:
-    return {kind: n for kind, rx in _CELLS if (n := len(rx.findall(line.strip())))}
+    return {kind: n for kind, rx in _CELLS if kind in line and (n := len(rx.findall(line)))}
 
 
 def _bare_items(lines: list[str]) -> bool:
@@ -113,16 +110,18 @@ def _bare_items(lines: list[str]) -> bool:
 
 def statistics(text: str) -> tuple[dict[str, float], dict[str, float], str]:
     """``(statistics, shares, language)``: :data:`STATISTICS`, and the share of characters in lines of each kind."""
-    words = [w.lower() for w in _WORD.findall(text)]
+    lines = _BREAK.split(text)
+    per_line = [_WORD.findall(line.lower()) for line in lines]
+    words = [w for own in per_line for w in own]
     lang = dominant_language(words)
-    kinds = line_kinds(text)
-    solid = [c for c in text if not c.isspace()]
-    n, size = len(words), max(1, len(solid))
-    lines = [line for line in re.split(r"\r\n?|\n", text) if line.strip()]
+    kinds = line_kinds(lines, per_line)
+    solid = len(_GAP.sub("", text))
+    n, size = len(words), max(1, solid)
     sums: dict[str, float] = dict.fromkeys(("prose", "item", "row", "other"), 0.0)
-    for kind, _, _, chars in kinds:
-        sums[kind] += chars
-    loose = [line.strip() for line, (kind, *_) in zip((x for x in lines if not _RULER.match(x)), kinds) if kind == "other" and not line.lstrip().startswith("#")]
+    for i, kind in kinds:
+        sums[kind] += len(lines[i].strip())
+    loose = [lines[i].strip() for i, kind in kinds if kind == "other" and not lines[i].lstrip().startswith("#")]
+    lines = [line for line in lines if line and not line.isspace()]
     if _bare_items(loose):
         moved = sum(map(len, loose))
         sums["item"] += moved
@@ -132,9 +131,9 @@ def statistics(text: str) -> tuple[dict[str, float], dict[str, float], str]:
     stats = {
         "log_words": math.log1p(n),
         "word_length": sum(map(len, words)) / max(1, n),
-        "symbol_ratio": sum(not c.isalnum() for c in solid) / size,
-        "digit_ratio": sum(c.isdigit() for c in solid) / size,
-        "common_share": sum(w in _COMMON[lang] for w in words) / max(1, n),
+        "symbol_ratio": (solid - len(_NO_ALNUM.sub("", text))) / size,
+        "digit_ratio": len(_NO_DIGIT.sub("", text)) / size,
+        "common_share": sum(map(_COMMON[lang].__contains__, words)) / max(1, n),
         "line_end_share": sum(bool(_END.search(line)) for line in lines) / max(1, len(lines)),
         "log_line_words": math.log1p(n / max(1, len(lines))),
         "sentence_rate": len(_SENTENCE_END.findall(text)) / max(1, n),

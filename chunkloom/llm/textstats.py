@@ -15,6 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,20 +72,56 @@ class ProseModel:
         return z * (z @ inverse)
 
 
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("stats").flatten().to_numpy(zero_copy_only=False).reshape(-1, _N)
+
+
 def _sums(model: ProseModel | None):
     """Per batch and language: count, sum and sum of products of the statistics of the texts that count as prose."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for lang, part in batch.groupby("language"):
-                x = np.stack(part["stats"].to_numpy()) if len(part) else np.zeros((0, _N))
-                keep = part["prose"].to_numpy() >= 0.5
+            stats, langs = _matrix(batch), batch.column("language").to_numpy(zero_copy_only=False)
+            prose = batch.column("prose").to_numpy(zero_copy_only=False) >= 0.5
+            names, sums = [], []
+            for lang in sorted(set(langs)):
+                x = stats[(langs == lang) & prose]
                 if model is not None:
-                    keep &= model.contributions(lang, x).sum(axis=1) <= _CENTRAL
-                x = x[keep]
-                out.append((lang, np.concatenate(([len(x)], x.sum(axis=0), (x.T @ x).ravel())).tolist()))
-            yield pd.DataFrame(out, columns=["language", "sums"])
+                    x = x[model.contributions(lang, x).sum(axis=1) <= _CENTRAL]
+                names.append(lang)
+                sums.append(np.concatenate(([len(x)], x.sum(axis=0), (x.T @ x).ravel())).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sums, pa.list_(pa.float64()))], names=["language", "sums"])
+
+    return run
+
+
+def _judge(model: ProseModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = batch.column("stats").is_valid().to_numpy(zero_copy_only=False)
+            stats = np.full((batch.num_rows, _N), np.nan)
+            stats[known] = _matrix(batch)
+            langs = batch.column("language").to_numpy(zero_copy_only=False)
+            parts = np.full_like(stats, np.nan)
+            for lang in sorted(set(langs[known])):
+                own = langs == lang
+                parts[own] = model.contributions(lang, stats[own])
+            distance = parts.sum(axis=1)
+            shares = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("item", "row", "other")], axis=1)
+            kind = np.array(["list", "table", "junk"], dtype=object)[np.nan_to_num(shares).argmax(axis=1)]
+            with np.errstate(invalid="ignore"):
+                kind[(batch.column("prose").to_numpy(zero_copy_only=False).astype(float) >= 0.5) | (distance <= _OUTLIER)] = "prose"
+            kind[~known] = "empty"
+            unknown = pa.array(~known)
+            numbers = [pc.if_else(unknown, pa.scalar(None, pa.float64()), pa.array(np.ascontiguousarray(x))) for x in (*stats.T, distance)]
+            offsets = np.concatenate(([0], np.cumsum(np.where(known, _N, 0))))
+            maps = pa.MapArray.from_arrays(
+                pa.array(offsets, pa.int32(), mask=np.concatenate((~known, [False]))), pa.array(STATISTICS * int(known.sum()), pa.string()), pa.array(parts[known].ravel())
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("language"), *numbers, maps, pa.array(kind, pa.string())],
+                names=["key", "language", *STATISTICS, "distance", "contributions", "kind"],
+            )
 
     return run
 
@@ -94,7 +132,7 @@ def fit_prose(measured: DataFrame, steps: int = 2) -> ProseModel:
     size = 1 + _N + _N * _N
     model = None
     for _ in range(steps + 1):
-        added = usable.mapInPandas(_sums(model), "language string, sums array<double>").groupBy("language").agg(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(size)))
+        added = usable.mapInArrow(_sums(model), "language string, sums array<double>").groupBy("language").agg(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(size)))
         model = ProseModel({r[0]: np.array(r[1:], float) for r in added.collect()})
     return model
 
@@ -110,20 +148,5 @@ def classify(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     kind = documents.schema[key].dataType.simpleString()
     measured = Scratch(documents.sparkSession, "textstats").write(measure(documents, key, text), "measured")
     model = fit_prose(measured)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                if r.stats is None:
-                    rows.append((r.key, None, *[None] * _N, None, None, "empty"))
-                    continue
-                parts = model.contributions(r.language, np.asarray(r.stats))
-                distance = float(parts.sum())
-                shares = {"list": r.item, "table": r.row, "junk": r.other}
-                prose = r.prose >= 0.5 or distance <= _OUTLIER
-                rows.append((r.key, r.language, *r.stats, distance, dict(zip(STATISTICS, parts.tolist())), "prose" if prose else max(shares, key=shares.get)))
-            yield pd.DataFrame(rows, columns=["key", "language", *STATISTICS, "distance", "contributions", "kind"])
-
     schema = f"key {kind}, language string, {', '.join(f'{s} double' for s in STATISTICS)}, distance double, contributions map<string,double>, kind string"
-    return measured.mapInPandas(run, schema).withColumnRenamed("key", key)
+    return measured.mapInArrow(_judge(model), schema).withColumnRenamed("key", key)
