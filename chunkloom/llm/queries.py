@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chunkloom.llm.docpairs import function_pairs
 from chunkloom.llm.history import screen_batches
 from chunkloom.llm.leakage import leaked_items
 from chunkloom.llm.mixing import Mixture
@@ -27,6 +28,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbour_pairs(table(spark, folder, "chunks"), dim=VECTOR_DIM, k=5)
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_pairs(spark, folder).select("point_id", "function_name").distinct()
+
+
+def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return function_pairs(table(spark, folder, "chunks"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_pieces(spark, folder).select("point_id").distinct()
 
