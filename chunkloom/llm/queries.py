@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chunkloom.llm.docpairs import function_pairs
+from chunkloom.llm.handwritten import classify_files
 from chunkloom.llm.history import screen_batches
 from chunkloom.llm.leakage import leaked_items
 from chunkloom.llm.mixing import Mixture
@@ -24,6 +25,14 @@ def p1_held(spark: SparkSession, folder: str) -> DataFrame:
     return screen_batches(table(spark, folder, "chunks"), table(spark, folder, "incoming_chunks"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_files(spark, folder).where("kind <> 'written'").select("file_id")
+
+
+def p2_files(spark: SparkSession, folder: str) -> DataFrame:
+    return classify_files(table(spark, folder, "chunks"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbour_pairs(table(spark, folder, "chunks"), dim=VECTOR_DIM, k=5)
 
