@@ -94,6 +94,8 @@ def _groups(source: Source) -> list[Comment]:
 
 def attached(source: Source, groups: list[Comment], node: FunctionNode) -> Comment | None:
     """The comment right above a function: only decorators and directives may stand between, no blank line."""
+    if source.text[source.line_start(node.start) : node.start].strip():
+        return None
     by_end = {source.line(c.end - 1): c for c in groups if c.end <= node.head}
     line = source.line(node.head) - 1
     first = source.line(node.start)
