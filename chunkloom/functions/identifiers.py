@@ -46,7 +46,8 @@ def _character_code(kind: str, fault: Column, reserved: str) -> Column:
 def catalog_error(name: Column) -> Column:
     """The code of the first rule that a catalog name breaks; null for a good name (and for null)."""
     return (
-        F.when(name == "", "catalog_empty")
+        F.when(name.isNull(), None)
+        .when(name == "", "catalog_empty")
         .when(F.octet_length(name) > MAX_CATALOG_BYTES, "catalog_too_long")
         .when(name.startswith("-"), "catalog_leading_hyphen")
         .when(name.endswith("-"), "catalog_trailing_hyphen")
@@ -61,7 +62,8 @@ def label_error(name: Column) -> Column:
     fault = F.regexp_extract(name, r"^(?:[a-z0-9]+[./=-])*[a-z0-9]*([^a-z0-9])", 1)
     separator = fault.rlike(r"^[./=-]$")
     return (
-        F.when(name == "", "label_empty")
+        F.when(name.isNull(), None)
+        .when(name == "", "label_empty")
         .when(F.octet_length(name) > MAX_LABEL_BYTES, "label_too_long")
         .when(name.rlike(r"^[a-z0-9]+(?:[./=-][a-z0-9]+)*$"), None)
         .when(name.rlike(r"^(?:[a-z0-9]+[./=-])+$"), "label_trailing_separator")
@@ -82,6 +84,6 @@ def label_id_label(label_id: Column) -> Column:
 
 def label_id_error(label_id: Column) -> Column:
     """The code of what is wrong with ``catalog:label``; null if nothing is."""
-    return F.when(~label_id.contains(":"), "label_id_no_colon").otherwise(
+    return F.when(label_id.isNull(), None).when(~label_id.contains(":"), "label_id_no_colon").otherwise(
         F.coalesce(catalog_error(label_id_catalog(label_id)), label_error(label_id_label(label_id)))
     )

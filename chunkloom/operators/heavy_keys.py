@@ -32,7 +32,7 @@ def distinct_points(chunks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     Repeats of a point may carry an older (shorter) label list and are otherwise equal; of equally long lists the
     greatest wins. Only the measures are shuffled, never texts or vectors. Rows without a ``point_id`` are left out.
     """
-    labels = F.array_distinct(F.coalesce("active_label_ids", F.array().cast("array<string>")))
+    labels = F.array_distinct(F.array_compact(F.coalesce("active_label_ids", F.array().cast("array<string>"))))
     return (
         chunks.where("point_id is not null")
         .select(
