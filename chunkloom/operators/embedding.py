@@ -9,13 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Memory of one instance of the model, of everything around it, and what is left to the rest of the machine.
 PER_INSTANCE_RAM = 2560 << 20
 EMBEDDING_OVERHEAD = 512 << 20
 RESERVE_RAM = 4 << 30
 MOST_INSTANCES = 4
-_RESULT = "vector array<float>, error string"
+_RESULT = T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())])
 
 
 def estimated_ram(instances: Column) -> Column:

@@ -15,6 +15,7 @@ from chunkloom.functions import text as T
 from chunkloom.operators import chunking, membership, packages, quality, search
 from chunkloom.operators.rules import CrawlRules
 from chunkloom.operators.snapshots import clean_entries, git_path, snapshot_changes
+from chunkloom.operators.typescript import typescript_chunks
 from chunkloom.runtime import table
 
 QUERIES: dict = {}
@@ -364,6 +365,21 @@ def md_split_parts(spark, folder):
     return cut.select("doc_id", "start_line", "end_line", "chunk_type", "symbol_name", "split_part_ordinal", "split_part_count", F.md5(F.col("chunk_text").cast("binary")).alias("digest"))
 
 
+@query()
+def ts_chunks(spark, folder):
+    """The chunks' own texts, cut once more along their syntax to pieces of 2,000 bytes."""
+    scripts = table(spark, folder, "chunks").where(F.col("relative_path").rlike("[.]tsx?$")).select("point_id", "relative_path", "text").dropDuplicates(["point_id"])
+    cut = typescript_chunks(scripts, limit=2000)
+    return cut.select("point_id", "start_line", "end_line", "chunk_type", "chunk_kind", "symbol_name", F.md5(F.col("chunk_text").cast("binary")).alias("digest"))
+
+
+@query()
+def sample_files(spark, folder):
+    """A repeatable sample of 20 script files: the sampling operator of the audit."""
+    scripts = paths(spark, folder).where(F.col("relative_path").endswith(".ts"))
+    return scripts.orderBy(F.xxhash64(F.lit(7), "catalog", "relative_path"), "catalog", "relative_path").limit(20)
+
+
 @query(
     f"""WITH {POINTS} SELECT point_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY start_line, point_id) AS INT) AS made_ordinal, CAST(count(*) OVER (PARTITION BY file_id) AS INT) AS made_count FROM points"""
 )
