@@ -120,14 +120,19 @@ def statistics(text: str) -> tuple[dict[str, float], dict[str, float], str]:
     sums: dict[str, float] = dict.fromkeys(("prose", "item", "row", "other"), 0.0)
     for i, kind in kinds:
         sums[kind] += len(lines[i].strip())
+    count = Counter(kind for _, kind in kinds)
     loose = [lines[i].strip() for i, kind in kinds if kind == "other" and not lines[i].lstrip().startswith("#")]
     lines = [line for line in lines if line and not line.isspace()]
     if _bare_items(loose):
         moved = sum(map(len, loose))
         sums["item"] += moved
         sums["other"] -= moved
+        count["item"] += len(loose)
     whole = sum(sums.values()) or 1.0
     shares = {k: max(0.0, v) / whole for k, v in sums.items()}
+    # a sentence or two above many short entries or rows may have more letters than these; it is still no prose
+    if count["item"] + count["row"] >= 4 * count["prose"] and shares["prose"] < 0.65:
+        shares["prose"] = min(shares["prose"], 0.49)
     stats = {
         "log_words": math.log1p(n),
         "word_length": sum(map(len, words)) / max(1, n),

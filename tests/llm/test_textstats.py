@@ -21,6 +21,7 @@ LISTS = [
     EN + "\n" + "\n".join(f"[x] {w} light field" for w in "red blue green iron paper salt quiet rapid north south east west".split() * 2),
 ]
 TABLES = [
+    EN + "\n\n" + "\n".join(f"{i}\tn{i}\t-" for i in range(9)),
     "\n".join(f"| {i} | name{i} | {i * 7}.5 |" for i in range(12)),
     "\n".join(f"{i},name{i},{i * 7}.5" for i in range(12)),
     "\n".join(f"{i}\tname{i}\t{i * 7}.5" for i in range(12)),
