@@ -17,6 +17,8 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import add
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,6 +54,19 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+_PLAIN = re.compile(r"[^\W_]+")
+_TROUBLE = re.compile(f"[&{''.join(map(chr, _INVISIBLE))}]")
+
+
+def plain_words(text: str) -> list[str] | None:
+    """The words of :func:`words_of` without their places, for a text without entities and invisible signs; None for others."""
+    if _TROUBLE.search(text):
+        return None
+    if text.isascii():
+        return _PLAIN.findall(text.lower())
+    return [w.casefold() if w.isascii() else unicodedata.normalize("NFKC", w).casefold() for w in _PLAIN.findall(text)]
+
+
 class ItemIndex:
     """The items' runs of ``n`` words: an automaton over them and, for each, where it stands in which items."""
 
@@ -109,22 +124,26 @@ def _scan(index: ItemIndex, gap: int, drift: int, least: int):
         for batch in batches:
             rows = []
             for key, text in zip(batch["id"], batch["text"]):
-                words = words_of(text) if automaton is not None else []
+                if automaton is None:
+                    continue
+                words = plain_words(text)
+                if words is None:
+                    words = [w for w, _, _ in words_of(text)]
                 if len(words) < n:
                     continue
-                line = " " + " ".join(w for w, _, _ in words) + " "
-                at: dict[int, int] = {}
-                end = 0
-                for k, (w, _, _) in enumerate(words):
-                    end += len(w) + 1
-                    at[end] = k  # the blank after word k
+                met = list(automaton.iter(" " + " ".join(words) + " "))
+                if not met:
+                    continue
+                ends = list(accumulate(map(len, words)))  # word k is followed by the blank at ends[k] + k + 1
+                at = dict(zip(map(add, ends, range(1, len(ends) + 1)), range(len(ends))))
                 seen: dict[int, int] = {}
                 hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                for stop, r in automaton.iter(line):
+                for stop, r in met:
                     d = at[stop] - n + 1
                     seen[d] = r
                     for item, k in places[r]:
                         hits[item].append((d, k))
+                places_of: list[tuple[str, int, int]] = []
                 found = []
                 for item, pairs in hits.items():
                     if len(pairs) * n < least:
@@ -133,12 +152,12 @@ def _scan(index: ItemIndex, gap: int, drift: int, least: int):
                     if best is None:
                         continue
                     first, last, chain = best
+                    places_of = places_of or words_of(text)
                     fresh = [n] + [min(n, b - a) for a, b in zip(chain, chain[1:])]
                     found.append(
-                        {"item": item, "start": words[first][1], "end": words[last - 1][2], "words": sum(fresh), "cover": [seen[s] for s in chain], "fresh": fresh}
+                        {"item": item, "start": places_of[first][1], "end": places_of[last - 1][2], "words": sum(fresh), "cover": [seen[s] for s in chain], "fresh": fresh}
                     )
-                if seen:
-                    rows.append((key, sorted(set(seen.values())), found))
+                rows.append((key, sorted(set(seen.values())), found))
             yield pd.DataFrame(rows, columns=["id", "runs", "found"])
 
     return run

@@ -1,6 +1,9 @@
 import pytest
 
-from chunkloom.llm.leakage import leaked_items, words_of
+from hypothesis import given
+from hypothesis import strategies as st
+
+from chunkloom.llm.leakage import leaked_items, plain_words, words_of
 
 PASSAGE = (
     "the quick harbour master counted seven grey boats before sunrise and wrote their names into a long ledger that nobody ever opened again "
@@ -28,6 +31,12 @@ def test_words_keep_their_places():
     assert [text[a:b] for _, a, b in words_of(text)][:2] == ["The", "Café"]
 
 
+@given(st.text(st.characters(codec="utf-8") | st.sampled_from("ab &;_-ßİﬁＡ\u00ad\n"), max_size=60))
+def test_both_ways_find_the_same_words(text):
+    plain = plain_words(text)
+    assert plain is None or plain == [w for w, _, _ in words_of(text)]
+
+
 def test_ways_of_setting_a_passage(spark):
     words = PASSAGE.split()
     quoted = "> " + "\n> ".join(" ".join(words[i : i + 6]) for i in range(0, len(words), 6))
