@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.llm.tokens import TOKENIZERS, token_counter
+from chunkloom.runtime import Scratch
 
 #: fixed values: spellings of the languages that are told apart; everything else is "other", a missing language "unknown"
 LANGUAGES = {
@@ -105,7 +106,8 @@ class Mixture:
         most_sources: int = 10_000,
     ):
         self.spark, self.seed = documents.sparkSession, seed
-        self.sized = sized_documents(documents, topics=topics, tokenizer=tokenizer)
+        # tokens are counted once: a few numbers a document are kept for the draws
+        self.sized = Scratch(self.spark, "mixture").write(sized_documents(documents, topics=topics, tokenizer=tokenizer), "sized")
         wanted = (
             targets.select(source_key(F.col("source")).alias("source"), F.col("target_share").cast("double"), F.col("max_repeats").cast("double"))
             .where("source is not null")
