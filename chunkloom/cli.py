@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chunkloom.functions import text as T
 from chunkloom.operators import quality, search
 from chunkloom.operators.embedding import hashing_embedder, onnx_embedder
-from chunkloom.operators.typescript import typescript_chunks
+from chunkloom.operators.typescript import Cutter, typescript_chunks
 from chunkloom.plans.crawl import crawl
 from chunkloom.sources import git
 from chunkloom.sources.config import Config, ConfigError, Context, check_catalog, check_label, load_rules, resolve_context, tool_home
@@ -156,8 +156,23 @@ def _view(args, config: Config) -> str:
 
 
 def _cut_local(paths: list[Path], limit: int, fallback: bool):
-    rows = [(str(p), p.read_text(errors="replace")) for p in paths]
-    return typescript_chunks(session().createDataFrame(rows, "relative_path string, text string"), limit=limit, allow_fallback=fallback)
+    rows = [(str(p), package_of(p), p.read_text(errors="replace")) for p in paths]
+    cut = typescript_chunks(session().createDataFrame(rows, "relative_path string, package string, text string"), limit=limit, allow_fallback=fallback)
+    return cut.withColumn("crumb", T.breadcrumb(F.col("package"), T.file_name(F.col("relative_path")), F.col("symbol_name")))
+
+
+def package_of(path: Path) -> str:
+    """The name in the nearest manifest above a file; without one, the file's folder."""
+    import json
+
+    for folder in path.absolute().parents:
+        try:
+            name = json.loads((folder / "package.json").read_text()).get("name")
+        except (OSError, ValueError, AttributeError):
+            continue
+        if isinstance(name, str) and name:
+            return name
+    return str(path.parent)
 
 
 def _dump_chunks(args, config: Config) -> str:
@@ -165,9 +180,13 @@ def _dump_chunks(args, config: Config) -> str:
     out = []
     for i, r in enumerate(chunks.orderBy("start_line").collect(), 1):
         size = len(r.chunk_text.encode())
-        out.append(f"chunk {i}: lines {r.start_line}-{r.end_line}, {size} bytes, {r.chunk_type} [{r.chunk_kind}]" + (f" {r.symbol_name}" if r.symbol_name else "") + (" OVERSIZED" if size > args.target_size else " small" if size < 200 else ""))
+        out.append(f"chunk {i}: lines {r.start_line}-{r.end_line}, {size} bytes, {r.chunk_type} [{r.chunk_kind}] {r.crumb}" + (" OVERSIZED" if size > args.target_size else " small" if size < 200 else ""))
         lines = r.chunk_text.split("\n")
         out += ["  " + x for x in (lines if args.visualize else lines[:8])] + ([f"  ... ({len(lines) - 8} more lines)"] if len(lines) > 8 and not args.visualize else [])
+    if args.debug:
+        cutter = Cutter(args.file.read_text(errors="replace"), tsx=args.file.suffix == ".tsx", limit=args.target_size, allow_fallback=args.with_fallback)
+        cutter.ranges()
+        out += [f"tried {first}-{last}: {kind} at {lines[0]}-{lines[1]}, places {places}" for first, last, kind, lines, places in cutter.trace]
     score = quality.quality_report(chunks, "relative_path", "chunk_text", target=args.target_size).head()
     return "\n".join(out + ([f"quality {score.score:.1f} %, {score.chunks} chunks, {score.small_chunks} small"] if score else ["no chunks"]))
 

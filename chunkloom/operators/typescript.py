@@ -60,6 +60,8 @@ class Cutter:
             self._sums.append(self._sums[-1] + len(line.encode("utf-8", "surrogatepass")) + 1)
         self._ascii = text.isascii()
         self._places: dict[int, list[tuple[int, int]]] = {}
+        #: what was tried, for people: ``(first line, last line, kind of scope, its lines, places found)``
+        self.trace: list[tuple[int, int, str, tuple[int, int], list[int]]] = []
 
     def size(self, first: int, last: int) -> int:
         return max(0, self._sums[last] - self._sums[first - 1] - 1)
@@ -152,6 +154,7 @@ class Cutter:
         poor: list[int] = []
         for scope in self._scopes(first, last):
             found = self.places(scope, first, last)
+            self.trace.append((first, last, scope.kind, self.tree.lines(scope), found))
             usable = [p for p in found if min(self._halves(p, first, last)) >= self.least]
             if usable:
                 return min(usable, key=lambda p: abs(self._halves(p, first, last)[0] - half)), "content"

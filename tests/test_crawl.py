@@ -182,7 +182,8 @@ def test_command_line(spark, tmp_path, repo, monkeypatch, capsys):
     readme = store.stored_chunks().where("relative_path = 'README.md'").head().file_id
     shown = run("view", "--id", f"{readme}:2", "--id", "0" * 16)
     assert "## Second" in shown and "# Title" not in shown and "CHUNK NOT FOUND" in shown
-    assert "quality" in run("dump-chunks", "--file", str(repo / "packages/a/src/one.ts"))
+    dumped = run("dump-chunks", "--file", str(repo / "packages/a/src/one.ts"))
+    assert "quality" in dumped and "%40x/a:one.ts:one" in dumped
     assert "one.ts" in run("audit-chunks", "--dir", str(repo / "packages"))
     run("purge", code=1)
     assert "4 chunks" in run("purge", "--catalog", "cat")
