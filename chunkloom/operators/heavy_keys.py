@@ -48,7 +48,26 @@ def distinct_points(chunks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     )
 
 
-def _accumulate(keys: tuple[str, ...], per_label: bool):
+def counted_points(chunks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Each ``point_id`` once with its keys alone: all that counting rows needs, so neither texts nor labels are read."""
+    return chunks.where("point_id is not null").groupBy("point_id").agg(F.max(F.struct(*keys)).alias("p")).select(*(F.col(f"p.{k}").alias(k) for k in keys))
+
+
+def _count(keys: tuple[str, ...]):
+    """Row counts alone, by dense arrays over the codes of each split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key in keys:
+                encoded = batch.column(key).dictionary_encode(null_encoding="encode")
+                values = encoded.dictionary.cast(pa.string())
+                rows = np.bincount(encoded.indices.to_numpy(zero_copy_only=False), minlength=len(values))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(values), pa.string()), values, pa.array(rows.astype(np.int64))], names=["key_field", "key_value", "rows"])
+
+    return run
+
+
+def _accumulate(keys: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # an Arrow batch is an equal split: its row count doesn't depend on the keys
             sizes = pc.fill_null(pc.list_value_length(batch.column("labels")), 0).to_numpy(zero_copy_only=False)
@@ -64,19 +83,18 @@ def _accumulate(keys: tuple[str, ...], per_label: bool):
                     "label_refs": np.bincount(codes, sizes, size).astype(np.int64),
                 }
                 yield block(key, encoded.dictionary, pa.nulls(size, pa.string()), sums)
-                if per_label:
-                    flat = batch.column("labels").flatten().dictionary_encode(null_encoding="encode")
-                    if not len(flat):
-                        continue
-                    width = max(1, len(flat.dictionary))
-                    pair, count = np.unique(np.repeat(codes, sizes).astype(np.int64) * width + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
-                    zero = np.zeros(len(pair), np.int64)
-                    yield block(
-                        key,
-                        encoded.dictionary.take(pa.array(pair // width)),
-                        flat.dictionary.take(pa.array(pair % width)),
-                        {"rows": count, "bytes": zero, "lines": zero, "label_refs": count},
-                    )
+                flat = batch.column("labels").flatten().dictionary_encode(null_encoding="encode")
+                if not len(flat):
+                    continue
+                width = max(1, len(flat.dictionary))
+                pair, count = np.unique(np.repeat(codes, sizes).astype(np.int64) * width + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                zero = np.zeros(len(pair), np.int64)
+                yield block(
+                    key,
+                    encoded.dictionary.take(pa.array(pair // width)),
+                    flat.dictionary.take(pa.array(pair % width)),
+                    {"rows": count, "bytes": zero, "lines": zero, "label_refs": count},
+                )
 
     def block(key: str, values: pa.Array, labels: pa.Array, sums: dict[str, np.ndarray]) -> pa.RecordBatch:
         cols = [pa.array([key] * len(values), pa.string()), values.cast(pa.string()), labels.cast(pa.string())]
@@ -86,9 +104,9 @@ def _accumulate(keys: tuple[str, ...], per_label: bool):
     return run
 
 
-def key_blocks(chunks: DataFrame, keys: tuple[str, ...] = ("package_name", "file_id"), *, per_label: bool = True) -> DataFrame:
-    """The summed accumulator blocks: one row per key (``label_id`` null) and, with ``per_label``, one per key and label."""
-    blocks = distinct_points(chunks, keys).mapInArrow(_accumulate(keys, per_label), _BLOCK)
+def key_blocks(chunks: DataFrame, keys: tuple[str, ...] = ("package_name", "file_id")) -> DataFrame:
+    """The summed accumulator blocks: one row per key (``label_id`` null), and one per key and label."""
+    blocks = distinct_points(chunks, keys).mapInArrow(_accumulate(keys), _BLOCK)
     return blocks.groupBy("key_field", "key_value", "label_id").agg(*(F.sum(m).alias(m) for m in MEASURES))
 
 
@@ -115,7 +133,8 @@ def heavy_keys(chunks: DataFrame, keys: tuple[str, ...] = ("package_name", "file
     A null key takes part in the total but is no value. The total comes from the accumulators themselves (each field's
     blocks sum to it), as one row.
     """
-    blocks = key_blocks(chunks, keys, per_label=False)
+    counted = counted_points(chunks, keys).mapInArrow(_count(keys), "key_field string, key_value string, rows long")
+    blocks = counted.groupBy("key_field", "key_value").agg(F.sum("rows").alias("rows"))
     total = blocks.where(F.col("key_field") == keys[0]).agg(F.sum("rows").alias("total"))
     return (
         blocks.crossJoin(F.broadcast(total))  # the broadcast side is a single row by construction
