@@ -129,8 +129,22 @@ def line_chunks(files: DataFrame, text: str = "text", *, limit: int = TARGET_BYT
     )
 
 
+def unique_slugs(slugs: Column) -> Column:
+    """The slugs of a document's headings, each made unique: a slug that is taken gets the first free number from 1.
+
+    Null entries (headings without words) stay null.
+    """
+
+    def step(done: Column, slug: Column) -> Column:
+        numbers = F.sequence(F.lit(1), F.size(done) + 1)
+        free = F.get(F.filter(numbers, lambda n: ~F.array_contains(done, F.concat(slug, F.lit("-"), n.cast("string")))), 0)
+        return F.array_append(done, F.when(F.array_contains(done, slug), F.concat(slug, F.lit("-"), free.cast("string"))).otherwise(slug))
+
+    return F.aggregate(slugs, F.array().cast("array<string>"), step)
+
+
 def markdown_sections(files: DataFrame, text: str = "text", *, keep_preamble: bool = False) -> DataFrame:
-    """``files`` without its text and with ``lines, start_line, end_line, heading`` of each section.
+    """``files`` without its text and with ``lines, start_line, end_line, heading, slug`` of each section.
 
     A section begins at a heading and ends before the next. What stands before the first heading is left out, unless
     ``keep_preamble``. A text without headings is one section with a null heading and ``whole`` true. Null texts and
@@ -144,7 +158,14 @@ def markdown_sections(files: DataFrame, text: str = "text", *, keep_preamble: bo
         F.when((F.col("_found")[0] > 0) & F.lit(keep_preamble), F.concat(F.array(F.lit(0)), "_found")).otherwise(F.col("_found"))
     )
     started = started.select(*rest, "_lines", (F.size("_found") == 0).alias("whole"), found.alias("_starts"))
-    sections = started.select(*rest, "_lines", "whole", "_starts", F.posexplode("_starts").alias("_at", "_from"))
+
+    def says(start: Column) -> Column:
+        line = F.get("_lines", start)
+        return F.when(~F.col("whole") & T.trim(line).startswith("#"), T.heading_text(line))
+
+    started = started.withColumn("_headings", F.transform("_starts", says))
+    started = started.withColumn("_slugs", unique_slugs(F.transform("_headings", T.slug)))
+    sections = started.select(*rest, "_lines", "whole", "_starts", "_headings", "_slugs", F.posexplode("_starts").alias("_at", "_from"))
     end = F.coalesce(F.try_element_at("_starts", F.col("_at") + 2), F.size("_lines"))
     out = sections.select(
         *rest,
@@ -152,7 +173,9 @@ def markdown_sections(files: DataFrame, text: str = "text", *, keep_preamble: bo
         (F.col("_from") + 1).alias("start_line"),
         end.alias("end_line"),
         F.slice("_lines", F.col("_from") + 1, F.greatest(end - F.col("_from"), F.lit(0))).alias("lines"),
-    ).withColumn("heading", F.when(~F.col("whole") & T.trim(F.try_element_at("lines", F.lit(1))).startswith("#"), T.heading_text(F.try_element_at("lines", F.lit(1)))))
+        F.get("_headings", F.col("_at")).alias("heading"),
+        F.get("_slugs", F.col("_at")).alias("slug"),
+    )
     return out.where(F.exists("lines", lambda line: T.trim(line) != ""))
 
 
@@ -182,7 +205,8 @@ def markdown_chunks(files: DataFrame, text: str = "text", *, limit: int = TARGET
         F.when(~F.col("_large"), F.col("heading")).alias("symbol_name"),
         F.when(F.col("_large"), F.col("_at") + 1).alias("split_part_ordinal"),
         F.when(F.col("_large"), F.size("_ranges")).alias("split_part_count"),
-        F.col("heading").alias("heading"),
+        "heading",
+        "slug",
     )
 
 

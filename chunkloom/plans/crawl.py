@@ -59,7 +59,7 @@ def cut_files(files: DataFrame, rules: CrawlRules, *, limit: int = chunking.TARG
     nothing = F.lit(None).cast("string")
     by_line = shaped(chunking.line_chunks(sorted_out.where("_strategy = 'lineBased'"), limit=limit), T.encode_path(name), chunk_type=F.lit("text"))
     sections = chunking.markdown_chunks(sorted_out.where("_strategy = 'markdown'"), limit=limit)
-    by_section = shaped(sections, T.breadcrumb(F.col("package"), name, T.slug(F.col("heading"))))
+    by_section = shaped(sections, T.breadcrumb(F.col("package"), name, F.col("slug")))
     scripts = typescript_chunks(sorted_out.where("_strategy = 'typescript'"), limit=limit)
     by_syntax = shaped(scripts, T.breadcrumb(F.col("package"), name, F.coalesce(F.col("symbol_name"), nothing)))
     return by_line.unionByName(by_section).unionByName(by_syntax)

@@ -351,15 +351,40 @@ def line_chunks(spark, folder):
 n AS (SELECT doc_id, i, trim(lines[i], chr(32) || chr(9) || chr(13)) AS line, len(lines) AS total FROM docs, unnest(range(1, len(lines) + 1)) AS u(i)),
 fenced AS (SELECT *, sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) % 2 AS code FROM n),
 h AS (SELECT * FROM fenced WHERE code = 0 AND starts_with(line, '#')),
-s AS (SELECT doc_id, i AS start_line, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - 1, total) AS end_line, nullif(trim(ltrim(line, '#')), '') AS heading FROM h)
-SELECT doc_id, start_line, CAST(end_line AS INT) AS end_line, heading FROM s
-UNION ALL SELECT doc_id, 1, CAST(len(lines) AS INT), NULL FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM h) AND regexp_matches(array_to_string(lines, chr(10)), '\\S')"""
+s AS (SELECT doc_id, i AS start_line, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - 1, total) AS end_line, nullif(trim(ltrim(line, '#')), '') AS heading FROM h),
+g AS (SELECT *, replace(regexp_replace(lower(heading), '[^\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Pc}} -]', '', 'g'), ' ', '-') AS base FROM s),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY start_line) - 1 AS again FROM g)
+SELECT doc_id, start_line, CAST(end_line AS INT) AS end_line, heading, CASE WHEN again > 0 AND base IS NOT NULL THEN base || '-' || again ELSE base END AS slug FROM u
+UNION ALL SELECT doc_id, 1, CAST(len(lines) AS INT), NULL, NULL FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM h) AND regexp_matches(array_to_string(lines, chr(10)), '\\S')"""
 )
 def md_sections(spark, folder):
-    return chunking.markdown_sections(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "start_line", "end_line", "heading")
+    return chunking.markdown_sections(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "start_line", "end_line", "heading", "slug")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE docs AS (SELECT doc_id, {_LINES} AS lines FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, i, lines[i] AS line, trim(lines[i], chr(32) || chr(9) || chr(13)) AS bare, strlen(lines[i]) + 1 AS b, len(lines) AS total FROM docs, unnest(range(1, len(lines) + 1)) AS u(i)),
+fenced AS (SELECT *, sum(CASE WHEN starts_with(bare, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) % 2 AS code FROM n),
+h AS (SELECT doc_id, i AS a, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - 1, total) AS z, nullif(trim(ltrim(bare, '#')), '') AS heading FROM fenced WHERE code = 0 AND starts_with(bare, '#')),
+s AS (SELECT h.*, sum(b) - 1 AS size, string_agg(line, chr(10) ORDER BY i) AS t FROM h JOIN n ON n.doc_id = h.doc_id AND n.i BETWEEN a AND z GROUP BY ALL),
+m AS (SELECT n.*, s.a FROM n JOIN s ON s.doc_id = n.doc_id AND n.i BETWEEN s.a AND s.z WHERE s.size > 600),
+r AS (
+  SELECT doc_id, a, i, line, b AS size, 1 AS part, CASE WHEN starts_with(bare, '```') THEN 1 ELSE 0 END AS code, b AS psize, 1 AS ppart FROM m WHERE i = a
+  UNION ALL
+  SELECT doc_id, a, i, line, CASE WHEN cut THEN b ELSE size + b END, part + CASE WHEN cut THEN 1 ELSE 0 END, code, CASE WHEN psize + b > 600 THEN b ELSE psize + b END, ppart + CASE WHEN psize + b > 600 THEN 1 ELSE 0 END
+  FROM (
+    SELECT m.doc_id, m.a, m.i, m.line, m.b, r.size, r.part, r.psize, r.ppart, x.code,
+      r.size + m.b > 600 AND x.code = 0 AND (m.bare = '' OR regexp_matches(m.bare, '^(?:```|[>*-])')) AS cut
+    FROM r JOIN m ON m.doc_id = r.doc_id AND m.a = r.a AND m.i = r.i + 1, LATERAL (SELECT CASE WHEN starts_with(m.bare, '```') THEN 1 - r.code ELSE r.code END AS code) x
+  )
+),
+p AS (SELECT *, max(part) OVER (PARTITION BY doc_id, a) AS parts, max(ppart) OVER (PARTITION BY doc_id, a) AS pparts FROM r),
+q AS (SELECT doc_id, min(i) AS start_line, max(i) AS end_line, parts = 1 AS plain, CASE WHEN parts = 1 THEN ppart ELSE part END AS k, CASE WHEN parts = 1 THEN pparts ELSE parts END AS c, string_agg(line, chr(10) ORDER BY i) AS t
+  FROM p GROUP BY doc_id, a, parts, pparts, CASE WHEN parts = 1 THEN ppart ELSE part END)
+SELECT doc_id, start_line, end_line, CASE WHEN plain THEN 'markdown' ELSE 'section' END AS chunk_type, NULL AS symbol_name, k AS split_part_ordinal, c AS split_part_count, md5(t) AS digest FROM q WHERE regexp_matches(t, '\\S')
+UNION ALL SELECT doc_id, a, z, 'section', heading, NULL, NULL, md5(t) FROM s WHERE size <= 600
+UNION ALL SELECT doc_id, 1, len(lines), 'markdown', NULL, NULL, NULL, md5(array_to_string(lines, chr(10))) FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM h) AND regexp_matches(array_to_string(lines, chr(10)), '\\S')"""
+)
 def md_split_parts(spark, folder):
     cut = chunking.markdown_chunks(table(spark, folder, "documents").select("doc_id", "text"), limit=600)
     return cut.select("doc_id", "start_line", "end_line", "chunk_type", "symbol_name", "split_part_ordinal", "split_part_count", F.md5(F.col("chunk_text").cast("binary")).alias("digest"))

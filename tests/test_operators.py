@@ -81,6 +81,14 @@ def test_markdown(spark):
     assert md(spark, "") == [] and md(spark, " \n\n") == []
 
 
+def test_slugs_are_unique_in_a_document(spark):
+    heads = ["Examples", "API", "Examples", "Examples-1", "examples", "???", "???", "API 1", "API"]
+    text = "\n".join(f"## {h}\nx" for h in heads)
+    rows = chunking.markdown_sections(spark.createDataFrame([(1, text), (2, text)], "k int, text string")).orderBy("k", "start_line").collect()
+    wanted = ["examples", "api", "examples-1", "examples-1-1", "examples-2", "", "-1", "api-1", "api-2"]
+    assert [r.slug for r in rows] == wanted * 2
+
+
 def test_oversized_sections(spark):
     parts = md(spark, "# h\n" + ("word " * 10 + "\n\n") * 10, limit=200)
     assert [p[4] for p in parts] == list(range(1, len(parts) + 1)) and all(p[2] == "section" and p[3] is None and p[5] == len(parts) for p in parts)
