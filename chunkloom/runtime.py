@@ -22,6 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder of this session."""
     found = spark.sparkContext.getConf().get(CHECKPOINT_DIR) or spark.conf.get(CHECKPOINT_DIR, None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="chunkloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = "file://" + own
@@ -33,7 +36,7 @@ class Scratch:
     """A folder below the shared one that holds the intermediate tables of one operator call.
 
     Readers of a table made here are lazy, so nothing is deleted when the operator returns: ``close`` removes the
-    folder once the caller has consumed the result, and the end of the driver removes what is left.
+    folder once the caller has consumed the result; the end of the driver removes what is left in a mounted folder.
     """
 
     def __init__(self, spark: SparkSession, name: str):
