@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CODED = "code binary, vec binary"
+#: a hashed vector is packed as its code and its entries, and sorts by the code
+_CODED = "row binary"
 #: a candidate is packed as its distance (big-endian double, which sorts as bytes since it isn't negative) and its class
 _BEST = "cls binary, best binary"
 _RECORD = np.dtype([("distance", ">f8"), ("cls", "S16")])
@@ -124,18 +125,17 @@ def _hash(family: CrossPolytope):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.float32).reshape(-1, family.dim)
+            vec = batch.column("vec").to_pylist()
+            x = np.frombuffer(b"".join(vec), np.float32).reshape(-1, family.dim)
             for t, code in family.codes(x):
                 prefix = t.to_bytes(2, "big")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([prefix + c.tobytes() for c in code], pa.binary()), batch.column("vec")], names=["code", "vec"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([prefix + c.tobytes() + v for c, v in zip(code, vec)], pa.binary())], names=["row"])
 
     return run
 
 
-def _rerank(dim: int, k: int, prefix: int, block: int = 1024):
-    """Within one range: the exact best k of every row among the rows of its bucket, in blocks of bounded memory."""
+def _rerank(dim: int, k: int, prefix: int, code_size: int, block: int = 1024):
+    """Within one range (rows of ``code_size`` bytes of code, the first ``prefix`` of which are the bucket, and a vector): the exact best k of every row among the rows of its bucket, in blocks of bounded memory."""
 
     def bucket(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keep = min(k, len(x) - 1)
@@ -166,16 +166,17 @@ def _rerank(dim: int, k: int, prefix: int, block: int = 1024):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, vec = [], []
         for batch in batches:
-            code += batch.column("code").to_pylist()
-            vec += batch.column("vec").to_pylist()
+            rows = batch.column("row").to_pylist()
+            code += [r[:prefix] for r in rows]
+            vec += [r[code_size:] for r in rows]
         if not code:
             return
         x = np.frombuffer(b"".join(vec), np.float32).reshape(-1, dim)
         full = np.array([_class(v) for v in vec] + [None], dtype=object)[:-1]
         ids = full.astype("S16")
-        code = np.array([c[:prefix] for c in code], dtype=f"V{prefix}")
+        code = np.array(code, dtype=f"V{prefix}")
         starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-        rows: list[bytes] = []
+        rows = []
         packed: list[bytes] = []
 
         def flush() -> pa.RecordBatch:
@@ -240,7 +241,7 @@ def nearest(
     prefix = 2 + 2 * family.digits
     ranges = max(spark.sparkContext.defaultParallelism, math.ceil(n * tables * (1 + min(probes, family.digits)) / rows_per_range))
     coded = reps.mapInArrow(_hash(family), _CODED)
-    best = coded.repartitionByRange(ranges, "code").sortWithinPartitions("code").mapInArrow(_rerank(dim, k, prefix), _BEST)
+    best = coded.repartitionByRange(ranges, "row").sortWithinPartitions("row").mapInArrow(_rerank(dim, k, prefix, prefix + 2 * family.finer), _BEST)
     # a class has one list per table and probe, so what is collected here is bounded
     records = F.flatten(F.transform(F.collect_list("best"), _records))
     merged = best.groupBy("cls").agg(F.slice(F.array_sort(F.array_distinct(records)), 1, k).alias("best"))
