@@ -27,25 +27,18 @@ class Grammar:
     """Grammars of the token sequences of several texts.
 
     After the rewriting: ``length`` is the number of tokens of each text, ``size`` that of the symbols in its final sequence and rules,
-    ``covered`` the tokens under rules. ``long_rules`` lists ``(text, hash of the expansion, tokens covered)`` of
-    rules that stand for at least ``long`` tokens.
+    ``covered`` the tokens under rules.
     """
 
-    def __init__(self, texts: list[list[str]], least: int = 3, rounds: int = 14, long: int = 24):
+    def __init__(self, texts: list[list[str]], least: int = 3, rounds: int = 14):
         count = len(texts)
         lengths = np.array([len(t) for t in texts], np.int64)
-        flat = [w for t in texts for w in t]
         self.length, self.size, self.covered = lengths, lengths.copy(), np.zeros(count, np.int64)
-        self.long_rules = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if not flat:
+        if not lengths.any():
             return
-        codes, names = pd.factorize(np.array(flat, dtype=object))
-        number = np.array([n[0].isdigit() for n in names], bool)
-        words = pd.util.hash_array(np.array(names, dtype=object).astype(str).astype(object)).astype(np.uint64)
-        words[number] = np.uint64(0x9D39247E33776D41)
         owner = np.repeat(np.arange(count), lengths)
-        width = np.ones(len(flat), np.int64)
-        symbol = words[codes]  # a symbol is known by the hash of what it stands for
+        width = np.ones(len(owner), np.int64)
+        symbol = _token_hashes(texts)  # a symbol is known by the hash of what it stands for
         rules = np.zeros(count, np.int64)
         for _ in range(rounds):
             if len(symbol) < 2:
@@ -94,10 +87,48 @@ class Grammar:
         left_over = np.bincount(owner, minlength=count)
         self.size = left_over + 2 * rules
         self.covered = np.bincount(owner, np.where(width > 1, width, 0), count).astype(np.int64)
-        big = width >= long
-        if big.any():
-            frame = pd.DataFrame({"text": owner[big], "rule": symbol[big], "width": width[big]}).groupby(["text", "rule"], sort=False)["width"].sum().reset_index()
-            self.long_rules = frame["text"].to_numpy(), frame["rule"].to_numpy(), frame["width"].to_numpy()
+
+
+def _token_hashes(texts: list[list[str]]) -> np.ndarray:
+    """The hashes of all tokens of the texts in a row; all numbers have the same."""
+    codes, names = pd.factorize(np.array([w for t in texts for w in t], dtype=object))
+    words = pd.util.hash_array(np.array(names, dtype=object).astype(str).astype(object)).astype(np.uint64)
+    words[np.array([n[0].isdigit() for n in names], bool)] = np.uint64(0x9D39247E33776D41)
+    return words[codes]
+
+
+def long_runs(texts: list[list[str]], long: int = 24, window: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, hash, width)`` of runs of ``long`` tokens: rules over all texts there are, if their hashes are joined.
+
+    A text's first and last run are taken and, of every ``window`` consecutive runs, the one with the least hash. So two texts with
+    ``long + window - 1`` tokens in common have a run in common, wherever they lie and however seldom it occurs in either.
+    ``width`` counts the tokens of a run before the next one: the widths of a text's runs are its length. Texts of
+    fewer than ``long`` tokens have none.
+    """
+    lengths = np.array([len(t) for t in texts], np.int64)
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if not (lengths >= long).any():
+        return none
+    symbol = _token_hashes(texts)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    n = len(symbol) - long + 1
+    runs = np.zeros(n, np.uint64)
+    for k in range(long):
+        runs = (runs ^ symbol[k : n + k]) * np.uint64(0x9E3779B97F4A7C15)
+        runs ^= runs >> np.uint64(29)
+    at = np.flatnonzero(owner[:n] == owner[long - 1 :])
+    runs, owner = runs[at], owner[at]
+    edge = owner[1:] != owner[:-1]
+    taken = np.concatenate(([True], edge)) | np.concatenate((edge, [True]))
+    if len(runs) >= window:
+        views = np.lib.stride_tricks.sliding_window_view(runs, window)
+        inside = np.flatnonzero(owner[: len(views)] == owner[window - 1 :])
+        taken[inside + views[inside].argmin(axis=1)] = True
+    at, runs, owner = at[taken], runs[taken], owner[taken]
+    width = np.full(len(at), long, np.int64)
+    same = owner[1:] == owner[:-1]
+    width[:-1][same] = np.diff(at)[same]
+    return owner, runs, width
 
 
 def literal_share(text: str, least: int = 80, incompressible: float = 0.6) -> tuple[int, int]:

@@ -1,8 +1,8 @@
 """Files that nobody wrote by hand: generated, minified, vendored, or data kept as code.
 
 Method: Re-Pair grammars of token sequences. A text whose grammar is small - rules are reused over and over - is generated, or a
-table of data; literals that hardly compress make a blob; rules of many tokens that files of several repositories share
-are vendored code. What a file says of itself at its very start, where it lies, and names of a single letter on long lines
+table of data; literals that hardly compress make a blob; long runs of tokens that files of several repositories share
+are vendored code: they are rules of the token sequences of all repositories together, each used in more than one. What a file says of itself at its very start, where it lies, and names of a single letter on long lines
 complete the picture.
 
 Grammars are inferred by chunk, and their sizes are added up by file, so no file is ever assembled in one place however
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.grammars import Grammar, literal_share, tokens
+from chunkloom.llm.grammars import Grammar, literal_share, long_runs, tokens
 from chunkloom.runtime import Scratch
 
 #: suffixes of files that hold text for people; their wording isn't judged, only their place and their notice
@@ -43,7 +43,7 @@ _COPIED = re.compile(
 _NAME = re.compile(r"(?<![\w$])[A-Za-z_$][\w$]*")
 
 _MEASURED = (
-    "file_id string, repository string, tokens long, symbols long, covered long, literal long, solid long, chars long, lines long, names long, single long, "
+    "file_id string, repository string, tokens long, body long, symbols long, covered long, literal long, solid long, chars long, lines long, names long, single long, "
     "made boolean, copied boolean, rules array<struct<rule:long,width:long>>"
 )
 
@@ -62,10 +62,14 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at in range(0, len(whole), 1000):
             batch = whole.iloc[at : at + 1000]
             texts, prose = batch["text"].tolist(), batch["prose"].tolist()
-            grammar = Grammar([[] if p else tokens(t) for t, p in zip(texts, prose)])
+            sequences = [[] if p else tokens(t) for t, p in zip(texts, prose)]
+            grammar = Grammar(sequences)
+            # files of several repositories may open with the same licence, so opening comments say nothing about the rest
+            bodies = [s[len(tokens(opening[0])) :] if f and s and (opening := _COMMENTS.match(t)) else s for s, t, f in zip(sequences, texts, batch["first"])]
             rules: list[list[dict]] = [[] for _ in texts]
-            for i, rule, width in zip(*grammar.long_rules):
-                rules[i].append({"rule": int(np.uint64(rule).view(np.int64)), "width": int(width)})
+            owner, runs, widths = long_runs(bodies)
+            for i, rule, width in zip(owner.tolist(), runs.view(np.int64).tolist(), widths.tolist()):
+                rules[i].append({"rule": rule, "width": width})
             literal, solid, lines, names, single, made, copied = ([] for _ in range(7))
             for t, p, first in zip(texts, prose, batch["first"]):
                 inside, size = (0, 0) if p else literal_share(t)
@@ -80,14 +84,14 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 copied.append(c)
             yield pd.DataFrame(
                 {
-                    "file_id": batch["file_id"], "repository": batch["repository"], "tokens": grammar.length, "symbols": grammar.size, "covered": grammar.covered,
+                    "file_id": batch["file_id"], "repository": batch["repository"], "tokens": grammar.length, "body": [len(b) for b in bodies], "symbols": grammar.size, "covered": grammar.covered,
                     "literal": literal, "solid": solid, "chars": [0 if p else len(t) for t, p in zip(texts, prose)], "lines": lines, "names": names, "single": single,
                     "made": made, "copied": copied, "rules": rules,
                 }
             )
 
 
-_SUMS = ("tokens", "symbols", "covered", "literal", "solid", "chars", "lines", "names", "single")
+_SUMS = ("tokens", "body", "symbols", "covered", "literal", "solid", "chars", "lines", "names", "single")
 
 
 def chunk_evidence(chunks: DataFrame) -> DataFrame:
@@ -118,7 +122,7 @@ def _shares(evidence: DataFrame) -> DataFrame:
             "blank_share": F.lit(1.0) - ratio("solid", "chars"),
             "line_length": ratio("chars", "lines"),
             "single_share": ratio("single", "names"),
-            "shared_share": ratio("shared", "tokens"),
+            "shared_share": ratio("shared", "body"),
         }
     )
 
@@ -129,13 +133,13 @@ def classify_files(chunks: DataFrame, *, reuse: float = 0.46, coverage: float =
     A file is generated if its opening comments say so or its grammar is small (at most ``reuse`` symbols per token,
     ``coverage`` of the tokens under rules, ``least_tokens`` tokens); data if most of it is long literals or numbers; minified
     if its lines are long, hardly broken by blanks, and its names mostly single letters; vendored if it lies in a folder
-    of others' code, says at its start whose copy it is, or consists mostly of long rules that files of another
-    repository have too. The first of data, minified, generated and vendored that holds is reported. Empty files are
+    of others' code, says at its start whose copy it is, or consists mostly, apart from its opening comments, of runs of
+    tokens that files of another repository have too. The first of data, minified, generated and vendored that holds is reported. Empty files are
     ``written``; an empty table gives an empty result.
     """
     # measured once: without the texts a chunk's evidence is a few numbers
     measured = Scratch(chunks.sparkSession, "handwritten").write(chunk_evidence(chunks), "measured")
-    rules = measured.select("file_id", "repository", F.explode("rules").alias("r")).groupBy("file_id", "repository", F.col("r.rule").alias("rule")).agg(F.sum("r.width").alias("width"))
+    rules = measured.select("file_id", "repository", F.explode("rules").alias("r")).select("file_id", "repository", "r.rule", "r.width")
     shared = rules.groupBy("rule").agg(F.min("repository").alias("a"), F.max("repository").alias("b")).where("a <> b").select("rule")
     by_file = rules.join(shared, "rule").groupBy("file_id").agg(F.sum("width").alias("shared"))
     evidence = measured.groupBy("file_id").agg(*(F.sum(s).alias(s) for s in _SUMS), *(F.max(b).alias(b) for b in ("made", "copied")))

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from chunkloom.llm.grammars import Grammar, literal_share, tokens
+from chunkloom.llm.grammars import Grammar, literal_share, long_runs, tokens
 from chunkloom.llm.handwritten import classify_files, notice
 
 NAMES = [a + b for a in ("north", "south", "green", "iron", "paper", "quiet") for b in ("Gate", "House", "Light", "Stone", "River")]
@@ -96,3 +96,25 @@ def test_files(spark):
         "release": "vendored", "portal": "written", "doc": "written", "notice": "generated", "null": "written", "empty": "written",
     }
     assert classify_files(df.limit(0)).count() == 0
+
+
+def test_long_runs():
+    own = [tokens(HAND), [], tokens("a b c"), tokens("x y z\n" + HAND)]
+    owner, runs, widths = long_runs(own)
+    assert [int(widths[owner == i].sum()) for i in range(4)] == [len(own[0]), 0, 0, len(own[3])]
+    assert len(set(runs[owner == 3]) - set(runs[owner == 0])) <= 3
+    assert [len(x) for x in long_runs([[]])] == [0, 0, 0]
+
+
+def test_a_file_copied_into_two_repositories(spark):
+    # nothing in it repeats, and neither path nor notice tells anything
+    licence = "// " + " ".join(pick() for _ in range(400)) + "\n"
+    own = ["\n".join("  " + R.choice(FORMS)() for _ in range(20)) for _ in range(4)]
+    rows = [
+        ("a", "r1", "src/a/parse.ts", 1, HAND), ("b", "r2", "lib/x/tools.ts", 1, HAND[: len(HAND) // 3]), ("b", "r2", "lib/x/tools.ts", 2, HAND[len(HAND) // 3 :]),
+        ("c", "r1", "src/c.ts", 1, licence + own[0]), ("d", "r2", "src/d.ts", 1, licence + own[1]),
+        ("e", "r1", "src/e.ts", 1, own[2]), ("f", "r1", "src/f.ts", 1, own[2]), ("g", "r2", "src/g.ts", 1, own[3] + "\n" + own[2][:300]),
+    ]
+    df = spark.createDataFrame(rows, "file_id string, catalog string, relative_path string, chunk_ordinal int, text string")
+    got = {r.file_id: r.kind for r in classify_files(df).collect()}
+    assert got == {"a": "vendored", "b": "vendored"} | dict.fromkeys("cdefg", "written")
