@@ -1,4 +1,4 @@
-"""Winnowed fingerprints of texts, Bloom filters over them, and the share of lines that two texts have in common."""
+"""Fingerprints of texts (of their lines, and winnowed runs of words), Bloom filters over them, and the share of lines that two texts have in common."""
 
 from __future__ import annotations
 
@@ -33,6 +33,7 @@ class WordArrays:
         self.lines = np.array([len(text) for text in texts], np.int64)  # of each text
         self.line_words = np.array([line.count(" ") + 1 for line in lines], np.int64)
         codes, different = pd.factorize(np.array(flat, dtype=object))
+        self.codes = codes
         self.hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in different], np.uint64)[codes] if flat else np.zeros(0, np.uint64)
         starts = np.concatenate(([0], np.cumsum(self.line_words)))
         self.line_starts = starts[:-1]
@@ -90,12 +91,52 @@ class WordArrays:
         """
         if not len(self.hashes):
             return [np.zeros(0, np.int64) for _ in self.lines]
-        mixed = (self.hashes ^ (self.hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        per_line = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), self.line_starts).view(np.int64)
+        per_line = np.add.reduceat(_mixed(self.hashes), self.line_starts).view(np.int64)
         ends = np.cumsum(self.lines)
         return [np.sort(x) for x in np.split(per_line, ends[:-1])]
 
 
+    def line_prints(self, often: float) -> tuple[np.ndarray, np.ndarray]:
+        """``(owner, fingerprint)``, in order of the texts: one for each line, and one for each line without each of its frequent words.
+
+        A word is frequent if at least two lines and the share ``often`` of the text's lines hold it; a line without a word is known
+        by the rest and by how often the word stood there. Equal lines have different fingerprints, the first, second, third ... of
+        them, so repeated lines count as often as both texts have them. Two texts that keep ``K`` lines, if one looks past
+        one name changed to another that those lines don't hold, share at least ``K / 2`` fingerprints if ``K`` is at least twice the
+        share ``often`` of the lines of either: half of the ``K`` lines are without the name, or else it is frequent in both texts.
+        """
+        if not len(self.hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        mixed = _mixed(self.hashes)
+        sums = np.add.reduceat(mixed, self.line_starts)
+        text_of = np.repeat(np.arange(len(self.lines)), self.lines)
+        size = int(self.codes.max()) + 1
+        key, first, times = np.unique(np.repeat(np.arange(len(sums)), self.line_words) * size + self.codes, return_index=True, return_counts=True)
+        line, code = key // size, key % size
+        _, group, holders = np.unique(text_of[line] * size + code, return_inverse=True, return_counts=True)
+        name = holders[group] >= np.maximum(2, often * self.lines[text_of[line]])
+        line, code, first, times = line[name], code[name], first[name], times[name].astype(np.uint64)
+        blind = _mixed(sums[line] - times * mixed[first] + times * np.uint64(0xD6E8FEB86659FD93))
+        owner = np.concatenate((text_of, text_of[line]))
+        word = np.concatenate((np.full(len(sums), -1), code))
+        value = np.concatenate((sums, blind))
+        order = np.lexsort((value, word, owner))
+        owner, word, value = owner[order], word[order], value[order]
+        new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (word[1:] != word[:-1]) | (value[1:] != value[:-1])))
+        at = np.arange(len(value))
+        rank = at - np.maximum.accumulate(np.where(new, at, 0))
+        value = _mixed(value + rank.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.lexsort((value, owner))
+        owner, value = owner[order], value[order]
+        new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])))
+        return owner[new], value[new]
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    mixed = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
 def winnow(texts: list[list[str]], run: int = 5, window: int = 8) -> tuple[np.ndarray, np.ndarray]:
     return WordArrays(texts).winnow(run, window)
 

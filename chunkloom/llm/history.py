@@ -1,6 +1,7 @@
 """Deduplicating new batches against everything already accepted.
 
-Method: texts are known by winnowed fingerprints of their words. A persistent store holds, for every distinct text, hashes of its
+Method: texts are known by fingerprints of their lines, and of their lines without each of the words that might be a changed name
+(winnowed runs of words can't promise to meet: in short lines a frequent changed name is in every run). A persistent store holds, for every distinct text, hashes of its
 lines and its fingerprints, and partitioned Bloom filters over the fingerprints. The fingerprints of a batch are first screened by the
 filters; only positives are looked up in the store. Texts that share enough fingerprints with a held one are
 verified by the share of lines that they keep. Then the batch enters both the store and the filters. The texts of the
@@ -30,25 +31,28 @@ _READ = "key string, seq long, cls binary, id long, hashes array<long>, fps arra
 _PART_ROWS, _BITS = 500_000, 12
 
 
-def _read_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for whole in batches:
-        for at in range(0, len(whole), 2000):
-            batch = whole.iloc[at : at + 2000]
-            lines = [word_lines(t) for t in batch["text"]]
-            keep = np.array([bool(x) for x in lines], bool)
-            batch, lines = batch[keep], [x for x in lines if x]
-            if not lines:
-                continue
-            classes = [class_of(x) for x in lines]
-            ids = np.array([int.from_bytes(c[:8], "little", signed=True) for c in classes], np.int64)
-            words = WordArrays(lines)
-            owner, fps = words.winnow()
-            # the class itself is a fingerprint too: texts of one class always meet
-            owner = np.concatenate((owner, np.arange(len(ids))))
-            fps = np.concatenate((fps.view(np.int64), ids ^ 0x5555555555555555))
-            order = np.argsort(owner, kind="stable")
-            each = np.split(fps[order], np.cumsum(np.bincount(owner, minlength=len(ids)))[:-1])
-            yield pd.DataFrame({"key": batch["key"], "seq": batch["seq"], "cls": classes, "id": ids, "hashes": words.line_hashes(), "fps": each, "labels": batch["labels"]})
+def _read_texts(often: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), 2000):
+                batch = whole.iloc[at : at + 2000]
+                lines = [word_lines(t) for t in batch["text"]]
+                keep = np.array([bool(x) for x in lines], bool)
+                batch, lines = batch[keep], [x for x in lines if x]
+                if not lines:
+                    continue
+                classes = [class_of(x) for x in lines]
+                ids = np.array([int.from_bytes(c[:8], "little", signed=True) for c in classes], np.int64)
+                words = WordArrays(lines)
+                owner, fps = words.line_prints(often)
+                # the class itself is a fingerprint too: texts of one class always meet
+                owner = np.concatenate((owner, np.arange(len(ids))))
+                fps = np.concatenate((fps.view(np.int64), ids ^ 0x5555555555555555))
+                order = np.argsort(owner, kind="stable")
+                each = np.split(fps[order], np.cumsum(np.bincount(owner, minlength=len(ids)))[:-1])
+                yield pd.DataFrame({"key": batch["key"], "seq": batch["seq"], "cls": classes, "id": ids, "hashes": words.line_hashes(), "fps": each, "labels": batch["labels"]})
+
+    return run
 
 
 def _verify(enough: float):
@@ -56,6 +60,7 @@ def _verify(enough: float):
         for batch in batches:
             share = [kept_share(a, b, enough) for a, b in zip(batch["new_hashes"], batch["held_hashes"])]
             out = pd.DataFrame({"id": batch["id"], "held": batch["held"], "share": np.array(share, float)})
+            out.loc[out["id"] == out["held"], "share"] = 1.0  # one class, though its lines may be broken elsewhere
             yield out[out["share"] >= enough]
 
     return run
@@ -64,15 +69,15 @@ def _verify(enough: float):
 class History:
     """The persistent store of one collection of texts, in a folder of ``scratch``.
 
-    ``least_shared`` is the share of a text's fingerprints that any text keeping ``enough`` of its lines shares with
-    it; ``head`` is the number of postings of a fingerprint in tier 0; ``broadcast_rows`` bounds what is broadcast in lookups.
+    Two texts that keep the share ``enough`` of the longer one's lines share at least half as many fingerprints (see
+    :meth:`WordArrays.line_prints`), so that many are asked for; ``head`` is the number of postings of a fingerprint in tier 0; ``broadcast_rows`` bounds what is broadcast in lookups.
     """
 
     def __init__(
-        self, spark: SparkSession, scratch: Scratch, *, enough: float = 0.5, least_shared: float = 0.2, head: int = 8, broadcast_rows: int = 2_000_000
+        self, spark: SparkSession, scratch: Scratch, *, enough: float = 0.5, head: int = 8, broadcast_rows: int = 2_000_000
     ):
         self.spark, self.scratch, self.broadcast_rows = spark, scratch, broadcast_rows
-        self.enough, self.least_shared, self.head = enough, least_shared, head
+        self.enough, self.head = enough, head
         self.held: list[DataFrame] = []  # (id, key, seq, labels, hashes, fps), a row per class
         self.postings: list[DataFrame] = []  # (tier, fp, id)
         self.filters: DataFrame | None = None
@@ -90,7 +95,7 @@ class History:
             "text",
             F.coalesce("active_label_ids", F.array().cast("array<string>")).alias("labels"),
         )
-        read = named.where("key is not null and text is not null").mapInPandas(_read_texts, _READ)
+        read = named.where("key is not null and text is not null").mapInPandas(_read_texts(self.enough / 2), _READ)
         distinct = (
             read.groupBy("cls")
             .agg(F.min(F.struct("seq", "key", "labels")).alias("f"), *(F.first(c).alias(c) for c in ("id", "hashes", "fps")))
@@ -182,7 +187,7 @@ class History:
             f"distinct-{v}",
         )
         texts = distinct.count()
-        own = distinct.select("id", "seq", F.size("fps").alias("n"), F.explode("fps").alias("fp"))
+        own = distinct.select("id", "seq", F.size("hashes").alias("n"), F.explode("fps").alias("fp"))
         positive = write(self._screen(own.select("fp").distinct()), f"positive-{v}")
         hits = write(self._lookup(0, positive, positive.count()), f"hits-{v}")
         taken = hits.groupBy("fp").agg(F.count("*").cast("int").alias("taken"))
@@ -195,12 +200,15 @@ class History:
         # fingerprints that have, or may have, holders in tier 1
         full = taken.where(F.col("taken") >= self.head).select("fp").unionByName(tiers.where("tier = 1").select("fp")).distinct()
         hot = own.join(full, "fp").groupBy("id").agg(F.count("*").alias("hot"))
-        need = F.ceil(F.col("n") * self.least_shared)
+        need = F.ceil(F.col("n") * (self.enough / 2))
+        hot_n = F.coalesce("hot", F.lit(0))
+        # all holders of a fingerprint that isn't hot are in tier 0; texts that hot ones might match alone are looked up in tier 1 too
+        least = F.when(hot_n < need, need - hot_n).otherwise(F.least(need, F.lit(2)))
         pairs = (
             met.groupBy("id", "held", "n")
             .agg(F.count("*").alias("shared"))
             .join(self._small(hot, texts), "id", "left")
-            .where(F.col("shared") >= F.greatest(F.lit(2.0), need - F.coalesce("hot", F.lit(0))) - F.when(F.col("n") <= 8, 1).otherwise(0))
+            .where((F.col("shared") >= least) | (F.col("id") == F.col("held")))
             .select("id", "held")
         )
 
@@ -218,7 +226,7 @@ class History:
 
         sure = verified(pairs, f"sure-{v}")
         # tier 1, for texts that tier 0 left unmatched although their hot fingerprints alone might make a match
-        open_ids = distinct.select("id", F.size("fps").alias("n")).join(hot, "id").where(F.col("hot") >= need).join(sure, "id", "left_anti").select("id")
+        open_ids = distinct.select("id", F.size("hashes").alias("n")).join(hot, "id").where(F.col("hot") >= need).join(sure, "id", "left_anti").select("id")
         open_ids = write(open_ids, f"open-{v}")
         if open_ids.head(1):
             wanted = write(own.join(open_ids, "id").select("fp").distinct(), f"wanted-{v}")

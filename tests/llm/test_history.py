@@ -114,3 +114,27 @@ def test_edges(spark):
     assert run(spark, [chunk(1)], []) == {}
     assert set(run(spark, [chunk(1, 4000)], [(1, 1, edited(chunk(1, 4000), range(500)))])) == {1}
     assert class_of(word_lines("a b\nc")) == class_of(word_lines("a\nb  c;"))
+
+
+def short_lines(seed, words, every, name, lines=24):
+    r = random.Random(seed)
+    return [" ".join([name] * (i % every == 0) + [f"{r.choice(WORDS)}{r.randint(0, 99)}" for _ in range(words - (i % every == 0))]) for i in range(lines)]
+
+
+@pytest.mark.parametrize("words, every", [(3, 2), (3, 3), (4, 1)])
+def test_short_lines_with_a_frequent_changed_name(spark, words, every):
+    held = ["\n".join(short_lines(i, words, every, "someName")) for i in range(30)]
+    r = random.Random(words)
+    new = []
+    for i in range(30):
+        lines = short_lines(i, words, every, "otherName")
+        for k in r.sample(range(24), 9):
+            lines[k] = f"another{k} line{i} altogether{k}"
+        new.append((i + 1, 1, "\n".join(lines)))
+    assert all(shares(held[i - 1], t) >= 0.5 for i, _, t in new)
+    got = run(spark, held, new, head=4)
+    assert {i: got[i].held_key for i in got} == {i + 1: f"c{i:03d}" for i in range(30)}
+
+
+def test_lines_broken_elsewhere(spark):
+    assert set(run(spark, [chunk(1)], [(1, 1, chunk(1).replace(" ", "\n"))])) == {1}
