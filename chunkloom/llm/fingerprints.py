@@ -186,13 +186,43 @@ def kept_share(new: np.ndarray, held: np.ndarray, enough: float = 0.5) -> float:
     left_new, left_held = new_counts.copy(), held_counts.copy()
     left_new[i] -= both
     left_held[j] -= both
-    rest_new, rest_held = new_lines[left_new > 0], held_lines[left_held > 0]
-    if min(len(rest_new), len(rest_held)) + both.sum() < enough * whole or len(rest_new) * len(rest_held) > 4_000_000:
+    if min(left_new.sum(), left_held.sum()) + both.sum() < enough * whole:
         return float(share)
-    changes = (rest_new[:, None] - rest_held[None, :]).ravel()
-    values, counts = np.unique(changes, return_counts=True)
-    change = values[counts.argmax()]
-    if counts.max() < 2:
+    rest_new, left_new = new_lines[left_new > 0], left_new[left_new > 0]
+    rest_held, left_held = held_lines[left_held > 0], left_held[left_held > 0]
+    change = _change(rest_new, left_new, rest_held, left_held)
+    if change is None:
         return float(share)
-    matched = np.isin(rest_held[:, None] + change * np.arange(1, 5)[None, :], rest_new).any(axis=1).sum()
+    matched = 0
+    for changed in change * np.arange(1, 5):
+        _, i, j = np.intersect1d(rest_new, rest_held + changed, assume_unique=True, return_indices=True)
+        taken = np.minimum(left_new[i], left_held[j])
+        left_new[i] -= taken
+        left_held[j] -= taken
+        matched += taken.sum()
     return float(min(1.0, share + matched / whole))
+
+
+def _change(new: np.ndarray, new_counts: np.ndarray, held: np.ndarray, held_counts: np.ndarray, most: int = 4_000_000) -> np.int64 | None:
+    """The difference by which most lines differ, of those by which two different lines do; None if there is none.
+
+    Differences are counted in parts, by their remainder, so that only about ``most`` are held at a time, however long the texts.
+    """
+    parts = 1 << (-(-len(new) * len(held) // most) - 1).bit_length()
+    # the number of parts is a power of two, as hashes wrap around; differences of a remainder come from pairs of remainders
+    new_at, held_at = (np.argsort(x % parts, kind="stable") for x in (new, held))
+    new_ends, held_ends = (np.concatenate(([0], np.cumsum(np.bincount((x % parts).astype(np.int64), minlength=parts)))) for x in (new, held))
+    best, weight = None, 0
+    for part in range(parts):
+        changes, weights = [], []
+        for of_held in range(parts):
+            of_new = (part + of_held) % parts
+            a = new_at[new_ends[of_new] : new_ends[of_new + 1]]
+            b = held_at[held_ends[of_held] : held_ends[of_held + 1]]
+            changes.append((new[a][:, None] - held[b][None, :]).ravel())
+            weights.append(np.minimum(new_counts[a][:, None], held_counts[b][None, :]).ravel())
+        values, at, counts = np.unique(np.concatenate(changes), return_inverse=True, return_counts=True)
+        total = np.where(counts >= 2, np.bincount(at, np.concatenate(weights), len(values)), 0)
+        if len(total) and total.max() > weight:
+            best, weight = values[total.argmax()], total.max()
+    return best

@@ -138,3 +138,16 @@ def test_short_lines_with_a_frequent_changed_name(spark, words, every):
 
 def test_lines_broken_elsewhere(spark):
     assert set(run(spark, [chunk(1)], [(1, 1, chunk(1).replace(" ", "\n"))])) == {1}
+
+
+def test_changed_names_in_long_texts_and_repeated_lines():
+    long = [f"{w} someName{i % 3} x{i}" for i, w in enumerate(WORDS * 45)]
+    new = [line.replace("someName0", "otherName") if i % 3 == 0 else f"use(someName, {i})" for i, line in enumerate(long)]
+    renamed = [f"call(someName, {line})" for line in long]
+    assert len(long) ** 2 > 4_000_000
+    assert shares("\n".join(renamed), "\n".join(renamed).replace("someName,", "otherName,")) == 1.0
+    assert shares("\n".join(long), "\n".join(new)) == pytest.approx(840 / 2520)
+    often = [f"plain {w}" for w in WORDS[:20]] + [f"{w} someName" for w in WORDS[:8]] * 5
+    assert shares("\n".join(often), "\n".join(often).replace("someName", "otherName")) == 1.0
+    # one line that is another one, however often, is no changed name
+    assert shares("same\n" + "one\n" * 9, "same\n" + "two\n" * 9) == pytest.approx(0.1)
