@@ -3,8 +3,8 @@
 Method: one Aho-Corasick automaton holds every run of five words of the normalised test items. Each document is normalised
 (case, punctuation, markup and layout go; every word keeps its place in the original) and scanned once. Hits that keep
 their distance between document and item (up to a slight drift) and follow each other closely form a passage; words that were
-replaced leave short gaps in it. A passage counts by the words it matches. Runs of words that occur in a large share of all documents are
-stock phrases: a passage must also have enough words of its own beside them.
+replaced leave short gaps in it. A passage counts by its extent, or by the lines of code in it. Runs of words that occur in a large share of
+all texts apart from any passage are stock phrases: a passage must also have enough words of its own beside them.
 
 The automaton is built from the held-out items alone and its size is checked before it is shared; the documents are
 scanned where they lie. Only per-document hits leave the scan, and only counts of the items' own runs reach the driver.
@@ -21,6 +21,7 @@ from itertools import accumulate
 from operator import add
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +68,26 @@ def plain_words(text: str) -> list[str] | None:
     return [w.casefold() if w.isascii() else unicodedata.normalize("NFKC", w).casefold() for w in _PLAIN.findall(text)]
 
 
+_CODE_LINE = re.compile(r"[;{}()\[\],:>=]\s*\Z|^\s*(?://|/\*|\*|#|[}\])])|[=!<>]=|=>|\w\(")
+
+
+def code_lines(text: str) -> list[tuple[int, int]]:
+    """``(first word, last word + 1)`` of the lines of code that hold words."""
+    out, at = [], 0
+    ends, end = [], 0
+    for line in text.splitlines(keepends=True):
+        end += len(line)
+        ends.append((end, bool(_CODE_LINE.search(line.rstrip()))))
+    starts = [s for _, s, _ in words_of(text)]
+    for end, code in ends:
+        first = at
+        while at < len(starts) and starts[at] < end:
+            at += 1
+        if code and at > first:
+            out.append((first, at))
+    return out
+
+
 class ItemIndex:
     """The items' runs of ``n`` words: an automaton over them and, for each, where it stands in which items."""
 
@@ -74,8 +95,12 @@ class ItemIndex:
         self.n, self.ids = n, [i for i, _ in items]
         self.runs: dict[str, int] = {}
         self.places: list[list[tuple[int, int]]] = []
+        self.words: list[list[str]] = []
+        self.lines: list[list[tuple[int, int]]] = []  # of code: first word, last word + 1
         for at, (_, text) in enumerate(items):
             words = [w for w, _, _ in words_of(text or "")]
+            self.words.append(words)
+            self.lines.append(code_lines(text or ""))
             for k in range(len(words) - n + 1):
                 run = " " + " ".join(words[k : k + n]) + " "
                 if run not in self.runs:
@@ -93,31 +118,56 @@ class ItemIndex:
         return found
 
 
-def passages(hits: list[tuple[int, int]], n: int, gap: int, drift: int, least: int) -> Iterator[tuple[int, int, list[int]]]:
-    """Chains of ``(document word, item word)`` hits of one item: ``(first word, last word + 1, starts of its runs)``.
+def passages(hits: list[tuple[int, int]], n: int, gap: int, drift: int) -> Iterator[list[tuple[int, int]]]:
+    """Chains of ``(document word, item word)`` hits of one item.
 
     Hits belong together if their distance differs by at most ``drift`` and the words they cover lie at most ``gap`` apart.
     """
     by: dict[int, set[int]] = defaultdict(set)
     for d, i in hits:
         by[d - i].add(d)
+    done = set()
     for shift in by:
-        starts = sorted(set().union(*(by.get(shift + x, ()) for x in range(-drift, drift + 1))))
-        chain = [starts[0]]
-        for s in [*starts[1:], None]:
-            if s is not None and s - (chain[-1] + n) < gap:
-                chain.append(s)
-                continue
-            covered = sum(min(n, b - a) for a, b in zip(chain, chain[1:])) + n
-            if covered >= least:
-                yield chain[0], chain[-1] + n, chain
-            chain = [s]
+        near = {s: s - x for y in range(-drift, drift + 1) for x in (shift + y,) for s in by.get(x, ())}
+        near.update((s, s - shift) for s in by[shift])
+        chain: list[tuple[int, int]] = []
+        for s in [*sorted(near), None]:
+            if chain and (s is None or s - (chain[-1][0] + n) >= gap):
+                if tuple(chain) not in done:
+                    done.add(tuple(chain))
+                    yield chain
+                chain = []
+            if s is not None:
+                chain.append((s, near[s]))
 
 
-_SCANNED = "id {kind}, runs array<int>, found array<struct<item:int,start:int,end:int,words:int,cover:array<int>,fresh:array<int>>>"
+def extent(chain: list[tuple[int, int]], document: list[str], item: list[str], n: int) -> tuple[int, int, int, int, int]:
+    """First word and last word + 1 in the document, the same in the item, and the matching words, of a chain of hits.
 
+    Beyond its runs a passage goes on over single replaced words, as long as a word that matches follows each.
+    """
+    (d, i), (e, j) = chain[0], (chain[-1][0] + n, chain[-1][1] + n)
+    matching = n + sum(min(n, b - a) for (a, _), (b, _) in zip(chain, chain[1:]))
+    for (a, x), (b, y) in zip(chain, chain[1:]):
+        if b - a == y - x:  # no drift: words between two runs may match too
+            matching += sum(document[a + k] == item[x + k] for k in range(n, b - a))
+    while True:
+        step = next((k for k in (1, 2) if d >= k and i >= k and document[d - k] == item[i - k]), 0)
+        if not step:
+            break
+        d, i, matching = d - step, i - step, matching + 1
+    while True:
+        step = next((k for k in (1, 2) if e + k <= len(document) and j + k <= len(item) and document[e + k - 1] == item[j + k - 1]), 0)
+        if not step:
+            break
+        e, j, matching = e + step, j + step, matching + 1
+    return d, e, i, j, matching
+
+
+_SCANNED = "id {kind}, same long, runs array<int>, found array<struct<item:int,start:int,end:int,words:int,cover:array<int>,fresh:array<int>>>"
 
-def _scan(index: ItemIndex, gap: int, drift: int, least: int):
+
+def _scan(index: ItemIndex, gap: int, drift: int, least: int, least_lines: int, matching_share: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = index.automaton() if index.runs else None
         n, places = index.n, index.places
@@ -145,20 +195,33 @@ def _scan(index: ItemIndex, gap: int, drift: int, least: int):
                         hits[item].append((d, k))
                 places_of: list[tuple[str, int, int]] = []
                 found = []
+                inside: set[int] = set()  # words where a run of a passage starts
+                again: set[int] = set()  # those that are hits of the item outside its passages too
                 for item, pairs in hits.items():
-                    if len(pairs) * n < least:
-                        continue
-                    best = max(passages(pairs, n, gap, drift, least), key=lambda p: sum(min(n, b - a) for a, b in zip(p[2], p[2][1:])), default=None)
-                    if best is None:
-                        continue
-                    first, last, chain = best
-                    places_of = places_of or words_of(text)
-                    fresh = [n] + [min(n, b - a) for a, b in zip(chain, chain[1:])]
-                    found.append(
-                        {"item": item, "start": places_of[first][1], "end": places_of[last - 1][2], "words": sum(fresh), "cover": [seen[s] for s in chain], "fresh": fresh}
-                    )
-                rows.append((key, sorted(set(seen.values())), found))
-            yield pd.DataFrame(rows, columns=["id", "runs", "found"])
+                    whole: set[tuple[int, int]] = set()
+                    kept = set()
+                    for chain in passages(pairs, n, gap, drift):
+                        first, last, i, j, matching = extent(chain, words, index.words[item], n)
+                        long = min(last - first, j - i) >= least and matching >= matching_share * (last - first)
+                        if not long and sum(i <= a and b <= j for a, b in index.lines[item]) < least_lines:
+                            continue
+                        whole.update(chain)
+                        starts = [d for d, _ in chain]
+                        fresh = [n] + [min(n, b - a) for a, b in zip(starts, starts[1:])]
+                        fresh[0] += max(0, matching - sum(fresh))  # single words between and around the runs
+                        cover = [seen[s] for s in starts]
+                        # passages of the same runs are equal to what follows: the first will do
+                        if (*cover, *fresh) in kept:
+                            continue
+                        kept.add((*cover, *fresh))
+                        places_of = places_of or words_of(text)
+                        found.append({"item": item, "start": places_of[first][1], "end": places_of[last - 1][2], "words": matching, "cover": cover, "fresh": fresh})
+                    starts = {d for d, _ in whole}
+                    inside |= starts
+                    again.update(d for d, i in pairs if d in starts and (d, i) not in whole)
+                # what lies in a passage of any item isn't stock, unless it also stands elsewhere in that item, without the rest
+                rows.append((key, xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63), sorted({r for d, r in seen.items() if d not in inside or d in again}), found))
+            yield pd.DataFrame(rows, columns=["id", "same", "runs", "found"])
 
     return run
 
@@ -170,6 +233,8 @@ def leaked_items(
     key: str = "doc_id",
     item_key: str = "item_id",
     words: int = 20,
+    lines: int = 6,
+    matching: float = 0.7,
     own_words: int = 10,
     run: int = 5,
     gap: int = 8,
@@ -179,8 +244,9 @@ def leaked_items(
 ) -> DataFrame:
     """``(doc_id, item_id, words, start, end)``: documents that hold a passage of an item, with its place in the text.
 
-    A passage has ``words`` matching words, ``own_words`` of them outside stock phrases. A run of words is a stock phrase
-    if more than ``stock[0] + stock[1] * documents`` documents hold it. A passage that several items share counts for
+    A passage extends over ``words`` words, ``matching`` of them unchanged, or over ``lines`` whole lines of code; ``own_words`` of them
+    lie outside stock phrases. A run of words is a stock phrase if more than ``stock[0] + stock[1] * texts`` different texts
+    hold it apart from any passage, so a passage stays one however many texts hold it whole. A passage that several items share counts for
     each of them; the longest passage of each item is reported. Null and blank texts hold nothing; a repeated row is
     reported once; texts are scanned whole. Items with equal ids are scanned separately and reported once. No items or
     no documents give an empty result. The items are shared with all executors and must therefore be bounded: more
@@ -196,19 +262,21 @@ def leaked_items(
     scanned = (
         documents.where(F.col("text").isNotNull() & F.col(key).isNotNull())
         .select(F.col(key).alias("id"), "text")
-        .mapInPandas(_scan(index, gap, drift, words), _SCANNED.format(kind=kind))
+        .mapInPandas(_scan(index, gap, drift, words, lines, matching), _SCANNED.format(kind=kind))
     )
     scanned = Scratch(spark, "leaked").write(scanned, "scanned")
     # counts of the items' own runs: bounded by the items, whatever the number of documents
-    common = F.lit(stock[0]) + F.lit(stock[1]) * F.lit(documents.count())
-    stock_runs = scanned.select(F.explode("runs").alias("run")).groupBy("run").count().where(F.col("count") > common).select("run", F.lit(True).alias("stock"))
+    texts = documents.where(F.col("text").isNotNull()).select(F.xxhash64("text")).distinct().count()
+    stock_runs = (
+        scanned.select("same", F.explode("runs").alias("run")).distinct().groupBy("run").count().where(F.col("count") > stock[0] + stock[1] * texts).select("run", F.lit(True).alias("stock"))
+    )
     names = spark.createDataFrame([(i, k) for i, (k, _) in enumerate(held)], f"item int, {item_key} {item_kind}")
     return (
-        scanned.select("id", F.explode("found").alias("f"))
-        .select("id", "f.item", "f.start", "f.end", "f.words", F.explode(F.arrays_zip("f.cover", "f.fresh")).alias("c"))
+        scanned.select("id", F.posexplode("found").alias("at", "f"))
+        .select("id", "at", "f.item", "f.start", "f.end", "f.words", F.explode(F.arrays_zip("f.cover", "f.fresh")).alias("c"))
         .select("*", F.col("c.cover").alias("run"), F.col("c.fresh").alias("fresh"))
         .join(stock_runs, "run", "left")
-        .groupBy("id", "item", "start", "end", "words")
+        .groupBy("id", "item", "start", "end", "words", "at")
         .agg(F.sum(F.when(F.col("stock"), 0).otherwise(F.col("fresh"))).alias("own"))
         .where(F.col("own") >= own_words)
         .join(F.broadcast(names), "item")  # as many rows as there are items, checked above

@@ -76,3 +76,25 @@ def test_edges(spark):
     assert leaked_items(docs(spark, [PASSAGE]), items(spark, [PASSAGE]).limit(0)).count() == 0
     with pytest.raises(ValueError):
         leaked_items(docs(spark, [PASSAGE]), items(spark, [PASSAGE]), most_item_bytes=10)
+
+
+def test_a_passage_that_leaked_everywhere_stays_a_case(spark):
+    filler = "somebody else may write about entirely different matters in this place number "
+    assert found(spark, [f"{filler} {i} {PASSAGE}" for i in range(60)], [PASSAGE]) == {(i, 100) for i in range(60)}
+    assert found(spark, [PASSAGE] * 60, [PASSAGE]) == {(i, 100) for i in range(60)}
+
+
+def test_extent_counts_and_lines_of_code(spark):
+    words = PASSAGE.split()[:20]
+    replaced = [" ".join("other" if i in at else w for i, w in enumerate(words)) for at in ([9], [9, 14], [2], [17])]
+    short = " ".join(words[:19])
+    six = "a = b;\nfoo(c);\nd = e + f;\ng();\nh = i;\nj(k, l);"
+    five = "\n".join(six.split("\n")[:5])
+    got = found(spark, [*replaced, short, "x\n" + six + "\ny", "x\n" + five + "\ny"], [PASSAGE, six + "\nWhat then?"])
+    assert got == {(i, 100) for i in range(4)} | {(5, 101)}
+
+
+def test_a_shorter_passage_beside_stock_is_found(spark):
+    filler = "somebody else may write about entirely different matters in this place number "
+    texts = [f"{STOCK} {filler} {i}" for i in range(60)] + [f"{STOCK} {STOCK} {filler} " + " ".join(PASSAGE.split()[:21])]
+    assert found(spark, texts, [f"{STOCK} {STOCK} what then? " + PASSAGE]) == {(60, 100)}
