@@ -202,13 +202,12 @@ def _scan(index: ItemIndex, gap: int, drift: int, least: int, least_lines: int,
                     kept = set()
                     for chain in passages(pairs, n, gap, drift):
                         first, last, i, j, matching = extent(chain, words, index.words[item], n)
-                        long = min(last - first, j - i) >= least and matching >= matching_share * (last - first)
+                        long = matching >= least or (min(last - first, j - i) >= least and matching >= matching_share * (last - first))
                         if not long and sum(i <= a and b <= j for a, b in index.lines[item]) < least_lines:
                             continue
                         whole.update(chain)
                         starts = [d for d, _ in chain]
                         fresh = [n] + [min(n, b - a) for a, b in zip(starts, starts[1:])]
-                        fresh[0] += max(0, matching - sum(fresh))  # single words between and around the runs
                         cover = [seen[s] for s in starts]
                         # passages of the same runs are equal to what follows: the first will do
                         if (*cover, *fresh) in kept:
@@ -234,7 +233,7 @@ def leaked_items(
     item_key: str = "item_id",
     words: int = 20,
     lines: int = 6,
-    matching: float = 0.7,
+    matching: float = 0.85,
     own_words: int = 10,
     run: int = 5,
     gap: int = 8,
@@ -244,8 +243,8 @@ def leaked_items(
 ) -> DataFrame:
     """``(doc_id, item_id, words, start, end)``: documents that hold a passage of an item, with its place in the text.
 
-    A passage extends over ``words`` words, ``matching`` of them unchanged, or over ``lines`` whole lines of code; ``own_words`` of them
-    lie outside stock phrases. A run of words is a stock phrase if more than ``stock[0] + stock[1] * texts`` different texts
+    A passage extends over ``words`` words, that share ``matching`` of it (or ``words`` of them) unchanged, or over ``lines`` whole lines of code; ``own_words`` of the words
+    under its runs lie outside stock phrases. A run of words is a stock phrase if more than ``stock[0] + stock[1] * texts`` different texts
     hold it apart from any passage, so a passage stays one however many texts hold it whole. A passage that several items share counts for
     each of them; the longest passage of each item is reported. Null and blank texts hold nothing; a repeated row is
     reported once; texts are scanned whole. Items with equal ids are scanned separately and reported once. No items or
