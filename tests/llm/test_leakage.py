@@ -1,9 +1,10 @@
+import numpy as np
 import pytest
 
 from hypothesis import given
 from hypothesis import strategies as st
 
-from chunkloom.llm.leakage import leaked_items, plain_words, words_of
+from chunkloom.llm.leakage import ItemIndex, _candidates, extent, leaked_items, passages, plain_words, words_of
 
 PASSAGE = (
     "the quick harbour master counted seven grey boats before sunrise and wrote their names into a long ledger that nobody ever opened again "
@@ -11,6 +12,7 @@ PASSAGE = (
 )
 CODE = "function alpha(one, two) {\n  const three = one.map((x) => beta(x.gamma));\n  if (three.delta > 42) return epsilon;\n  zeta.push(eta(three));\n  theta += iota * 9;\n  return kappa(three);\n}"
 STOCK = "please read the handbook of this project before you open an issue here"
+ALSO = "larger changes are discussed by all of us on the list beforehand"
 
 
 def docs(spark, texts):
@@ -58,9 +60,13 @@ def test_ways_of_setting_a_passage(spark):
 
 
 def test_stock_phrases_alone_are_no_case(spark):
+    # unrelated items have the stock sentences too, so these belong to none of them
     filler = "somebody else may write about entirely different matters in this place number "
-    texts = [f"{STOCK} {STOCK} {filler} {i}" for i in range(60)]
-    assert found(spark, texts, [f"{STOCK} {STOCK} what then?"]) == set()
+    texts = [f"{STOCK} {ALSO} {filler} {i}" for i in range(60)]
+    unrelated = [f"a wholly unrelated item about lamps and ropes {STOCK} which nobody mends at night", f"{ALSO} but the people of the harbour sang about it for years"]
+    assert found(spark, texts, [f"{STOCK} {ALSO} what then?", *unrelated]) == set()
+    # of a single item nobody can know that they are stock: they are a passage of it
+    assert len(found(spark, texts, [f"{STOCK} {ALSO} what then?"])) == 60
 
 
 def test_offsets_point_into_the_original(spark):
@@ -96,5 +102,35 @@ def test_extent_counts_and_lines_of_code(spark):
 
 def test_a_shorter_passage_beside_stock_is_found(spark):
     filler = "somebody else may write about entirely different matters in this place number "
-    texts = [f"{STOCK} {filler} {i}" for i in range(60)] + [f"{STOCK} {STOCK} {filler} " + " ".join(PASSAGE.split()[:21])]
-    assert found(spark, texts, [f"{STOCK} {STOCK} what then? " + PASSAGE]) == {(60, 100)}
+    texts = [f"{STOCK} {filler} {i}" for i in range(60)] + [f"{STOCK} {ALSO} {STOCK} {filler} " + " ".join(PASSAGE.split()[:21])]
+    held = [f"{STOCK} {ALSO} {STOCK} what then? " + PASSAGE, f"the lamps of the pier were {STOCK} lit", f"{ALSO} but nobody came"]
+    assert found(spark, texts, held) == {(60, 100)}
+
+
+def test_what_other_documents_hold_changes_nothing(spark):
+    passage = " ".join(f"w{i}" for i in range(40))
+    for n in (1, 10, 15, 200):
+        assert len(found(spark, [f"{passage} number {i}" for i in range(n)], [passage])) == n
+
+
+def test_six_short_lines_of_code(spark):
+    for code in ("a = b;\nc = d;\ne = f;\ng = h;\ni = j;\nk = l;", "begin(a);\nb();\nc();\nd();\ne();\nf();"):
+        assert found(spark, ["x\n" + code + "\ny", "x\n" + code.rsplit("\n", 1)[0] + "\ny"], [code + "\nWhat?"]) == {(0, 100)}
+
+
+@given(st.lists(st.sampled_from("a b c d e f g h".split()), min_size=5, max_size=60), st.lists(st.lists(st.sampled_from("a b c d e f g h x y".split()), max_size=70), min_size=1, max_size=4), st.integers(3, 25))
+def test_the_bound_loses_no_passage(item, documents, least):
+    index = ItemIndex([(1, " ".join(item))], 3)
+    whole = [[(d, k, r) for d in range(len(words) - 2) for run in [" " + " ".join(words[d : d + 3]) + " "] for r in [index.runs.get(run)] if r is not None for _, k in index.places[r]] for words in documents]
+    codes, hits, base = [], [], 0
+    for at, words in enumerate(documents):
+        hits += sorted({(at, base + d, r) for d, _, r in whole[at]})
+        codes += [index.codes.get(w, 0) for w in words] + [-1]
+        base += len(words) + 1
+    if not hits:
+        return
+    doc, word, run = (np.array(x, np.int64) for x in zip(*hits))
+    kept = {int(doc[h]) for h, _ in _candidates(index, doc, word, run, np.array(codes, np.int32), 8, 2, least, 6)}
+    for at, words in enumerate(documents):
+        if any(extent(c, words, item, 3)[4] >= least for c in passages([(d, k) for d, k, _ in whole[at]], 3, 8, 2)):
+            assert at in kept
