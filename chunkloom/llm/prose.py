@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 
 #: Frequent function words by language, in their usual spelling.
@@ -25,7 +26,14 @@ _COMMON = {lang: frozenset(words) for lang, words in COMMON_WORDS.items()}
 _ANY = frozenset().union(*_COMMON.values())
 _LANGUAGES = {w: tuple(lang for lang, words in _COMMON.items() if w in words) for w in _ANY}
 
+#: signs of scripts that are written without blanks; two of them count as a word
+_DENSE = "\u0e00-\u0edf\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+_HAS_DENSE = re.compile(f"[{_DENSE}]")
 _WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’][^\W\d_]+)*(?!\w)")
+_DENSE_WORD = re.compile(rf"[{_DENSE}]{{1,2}}|(?<!\w)(?:(?![{_DENSE}])[^\W\d_])+(?:['’](?:(?![{_DENSE}])[^\W\d_])+)*")
+#: a text in which fewer words than this share are function words of the listed languages is in none of them
+LISTED = 0.3
+_VOWELS = frozenset("aeiouyáàâãäåæéèêëíìîïóòôõöøœúùûüýāēīōūąęăıőű")
 _GAP, _NO_ALNUM, _NO_DIGIT = re.compile(r"\s+"), re.compile(r"[\W_]+"), re.compile(r"\D+")
 _BREAK = re.compile(r"\r\n?|\n")
 _MARK = re.compile(r"\s*(?:[-*+•‣◦▪·–—o]\s|(?:\d{1,4}|[a-zA-Z]|[ivxIVX]{1,5})[.):]\s|\(\w{1,4}\)\s|\[[ xX✓-]?\]\s|#\d+\s)\s*(?:\[[ xX✓-]?\]\s+)?\S")
@@ -33,8 +41,8 @@ _KEYED = re.compile(r"\s*[\w.$/-]+(?:\s[\w.$/-]+){0,2}\s*(?::|=>?|→|->|–|—
 _RULER = re.compile(r"\s*[-+=|:\s_*~]{4,}$")
 _CELLS = (("|", re.compile(r"\|")), ("\t", re.compile(r"\t")), (";", re.compile(r";")), (",", re.compile(r",")), ("  ", re.compile(r"(?<=\S)\s*  \s*(?=\S)")), ("&", re.compile(r"\s&\s")))
 _HTML_ROW = re.compile(r"</?(?:t[rdh]|table|thead|tbody)\b", re.I)
-_END = re.compile(r"[.!?…:;]['\"”’»)\]*_]*\s*$")
-_SENTENCE_END = re.compile(r"[.!?…]['\"”’»)\]*_]*(?=\s|$)")
+_END = re.compile(r"[.!?…:;。！？।॥؟։]['\"”’»)\]*_」』]*\s*$")
+_SENTENCE_END = re.compile(r"[.!?…।॥؟։]['\"”’»)\]*_]*(?=\s|$)|[。！？]")
 
 STATISTICS = (
     "log_words",
@@ -48,34 +56,68 @@ STATISTICS = (
     "variety",
     "list_share",
     "table_share",
-    "prose_share",
+    "other_share",
 )
 
 
 def dominant_language(words: list[str]) -> str:
     """The language whose function words are most frequent; "en" if none occur."""
+    return _scored(Counter(words))[0]
+
+
+def _scored(times: Counter) -> tuple[str, int]:
     scores = dict.fromkeys(_COMMON, 0)
-    for w, n in Counter(filter(_ANY.__contains__, words)).items():
+    for w in times.keys() & _ANY:
         for lang in _LANGUAGES[w]:
-            scores[lang] += n
-    return max(scores, key=lambda lang: (scores[lang], lang == "en"))
+            scores[lang] += times[w]
+    lang = max(scores, key=lambda lang: (scores[lang], lang == "en"))
+    return lang, scores[lang]
 
 
-def line_kinds(lines: list[str], words: list[list[str]]) -> list[tuple[int, str]]:
+def natural(text: str, times: Counter) -> bool:
+    """Whether the words of a text in none of the listed languages may be those of some language.
+
+    Its letters are of one script. If that is Latin, letters follow each other in other ways too than in strict turns of vowel and consonant, or some words are as much
+    more frequent than others as function words are: words made up from syllables lack both.
+    """
+    n = sum(times.values())
+    if not n:
+        return False
+    if not text.isascii():
+        scripts: Counter = Counter()
+        for ch, k in Counter(filter(str.isalpha, text)).items():
+            script = unicodedata.name(ch, "?").split()[0]
+            scripts["CJK" if script in ("CJK", "HIRAGANA", "KATAKANA", "HANGUL") else script] += k
+        script, most = scripts.most_common(1)[0]
+        if most < 0.9 * scripts.total():
+            return False
+        if script != "LATIN":
+            return True
+    same = pairs = 0
+    for w, k in times.items():
+        turns = [ch in _VOWELS for ch in w if ch.isalpha()]
+        same += k * sum(a == b for a, b in zip(turns, turns[1:]))
+        pairs += k * max(0, len(turns) - 1)
+    met = sum(k * (k - 1) for k in times.values())
+    return same >= 0.08 * pairs > 0 or met >= 0.006 * n * (n - 1) > 0
+
+
+def line_kinds(lines: list[str], words: list[list[str]], unlisted: bool = False) -> list[tuple[int, str]]:
     """``(line, kind)`` of each line that is neither blank nor a ruler, given the lines and their words in lower case.
 
     Kinds: ``prose`` (a line, or a part of a paragraph, with the function words of sentences, not repeated over and
-    over), ``item``, ``row`` and ``other``.
+    over), ``item``, ``row`` and ``other``. In an ``unlisted`` language, paragraphs that end sentences are prose too.
     """
     bare = [line.strip() for line in lines]
     seen = [i for i, line in enumerate(bare) if line]
     times = Counter(bare)
     cells = [_cells(line) for line in bare]
+    told = _sentences(bare) if unlisted else frozenset()
     out: list[tuple[int, str]] = []
     for at, i in enumerate(seen):
         own = words[i]
         # a sentence that is said over and over says nothing more
-        if len(own) >= 4 and times[bare[i]] <= 2 and len(_ANY.intersection(own)) and sum(map(_ANY.__contains__, own)) >= 0.2 * len(own):
+        if len(own) >= 4 and times[bare[i]] <= 2 and ((i in told and not _MARK.match(bare[i])) or (len(_ANY.intersection(own)) and sum(map(_ANY.__contains__, own)) >= 0.2 * len(own))):
             if sum(map(len, own)) >= 0.5 * len(_GAP.sub("", bare[i])):
                 out.append((i, "prose"))
                 continue
@@ -95,6 +137,21 @@ def line_kinds(lines: list[str], words: list[list[str]]) -> list[tuple[int, str]
     return out
 
 
+def _sentences(bare: list[str]) -> set[int]:
+    """The lines of paragraphs that hold a sentence end, up to the last one."""
+    out: set[int] = set()
+    block: list[int] = []
+    for i, line in enumerate(bare):
+        if not line:
+            block = []
+            continue
+        block.append(i)
+        if _SENTENCE_END.search(line):
+            out.update(block)
+            block = []
+    return out
+
+
 def _cells(line: str) -> dict[str, int]:
     return {kind: n for kind, rx in _CELLS if kind in line and (n := len(rx.findall(line)))}
 
@@ -109,14 +166,25 @@ def _bare_items(lines: list[str]) -> bool:
 
 
 def statistics(text: str) -> tuple[dict[str, float], dict[str, float], str]:
-    """``(statistics, shares, language)``: :data:`STATISTICS`, and the share of characters in lines of each kind."""
+    """``(statistics, shares, language)``: :data:`STATISTICS`, and the share of characters in lines of each kind.
+
+    The language is one of the listed ones or "other". Common words are the function words of a listed language; in
+    another one, the short words that the text repeats.
+    """
     lines = _BREAK.split(text)
-    per_line = [_WORD.findall(line.lower()) for line in lines]
+    find = (_DENSE_WORD if not text.isascii() and _HAS_DENSE.search(text) else _WORD).findall
+    per_line = [find(line.lower()) for line in lines]
     words = [w for own in per_line for w in own]
-    lang = dominant_language(words)
-    kinds = line_kinds(lines, per_line)
+    times = Counter(words)
+    lang, common = _scored(times)
+    n = len(words)
+    unlisted = common < LISTED * n or not n
+    if unlisted:
+        lang = "other"
+        common = max(common, sum(k for w, k in times.items() if k > 1 and len(w) <= 5))
+    kinds = line_kinds(lines, per_line, unlisted and natural(text, times))
     solid = len(_GAP.sub("", text))
-    n, size = len(words), max(1, solid)
+    size = max(1, solid)
     sums: dict[str, float] = dict.fromkeys(("prose", "item", "row", "other"), 0.0)
     for i, kind in kinds:
         sums[kind] += len(lines[i].strip())
@@ -128,23 +196,23 @@ def statistics(text: str) -> tuple[dict[str, float], dict[str, float], str]:
         sums["item"] += moved
         sums["other"] -= moved
         count["item"] += len(loose)
+    # a sentence or two above many short entries or rows may have more letters than these; it is still no prose
+    if count["item"] + count["row"] >= 4 * count["prose"] and sums["prose"] < 0.65 * sum(sums.values()):
+        sums["prose"] *= 0.5
     whole = sum(sums.values()) or 1.0
     shares = {k: max(0.0, v) / whole for k, v in sums.items()}
-    # a sentence or two above many short entries or rows may have more letters than these; it is still no prose
-    if count["item"] + count["row"] >= 4 * count["prose"] and shares["prose"] < 0.65:
-        shares["prose"] = min(shares["prose"], 0.49)
     stats = {
         "log_words": math.log1p(n),
         "word_length": sum(map(len, words)) / max(1, n),
         "symbol_ratio": (solid - len(_NO_ALNUM.sub("", text))) / size,
         "digit_ratio": len(_NO_DIGIT.sub("", text)) / size,
-        "common_share": sum(map(_COMMON[lang].__contains__, words)) / max(1, n),
+        "common_share": common / max(1, n),
         "line_end_share": sum(bool(_END.search(line)) for line in lines) / max(1, len(lines)),
         "log_line_words": math.log1p(n / max(1, len(lines))),
         "sentence_rate": len(_SENTENCE_END.findall(text)) / max(1, n),
-        "variety": len(set(words)) / max(1.0, n**0.8),
+        "variety": len(times) / max(1.0, n**0.8),
         "list_share": shares["item"],
         "table_share": shares["row"],
-        "prose_share": shares["prose"],
+        "other_share": shares["other"] if sum(sums.values()) else 1.0,
     }
     return stats, shares, lang

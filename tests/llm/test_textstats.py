@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from chunkloom.llm.prose import STATISTICS, dominant_language, statistics
@@ -74,3 +76,48 @@ def test_edges(spark):
     rows = classify(df).collect()
     assert len(rows) == 3 and {r.kind for r in rows} <= {"junk", "list", "prose", "table"}
     assert classify(df.limit(0)).count() == 0
+
+
+FOREIGN = {
+    "it": "Il mercato della piazza apre ogni mattina alle sette, quando i primi venditori sistemano le cassette di frutta e la gente del quartiere scende a prendere il caffè. Oggi piove, ma nessuno sembra preoccuparsene.",
+    "nl": "De boot vertrok om zes uur uit de haven, en toen we de vuurtoren voorbij waren, begon het zachtjes te regenen. Mijn broer had brood en kaas meegenomen, maar niemand had honger.",
+    "ru": "Утром мы вышли из дома раньше обычного, потому что автобус в город ходит только два раза в день. Дорога была мокрая, но небо понемногу светлело.",
+    "fi": "Aamulla lähdimme kotoa aikaisemmin kuin tavallisesti, koska bussi kulkee kaupunkiin vain kaksi kertaa päivässä. Tie oli märkä, mutta taivas kirkastui vähitellen.",
+    "zh": "早上我们比平时更早离开家，因为去城里的公共汽车每天只有两班。车站已经站着几个提着篮子的人，一位老太太讲起她年轻时怎样走路穿过树林。路是湿的，但是天慢慢亮了。",
+    "ar": "خرجنا من البيت في الصباح أبكر من المعتاد لأن الحافلة إلى المدينة لا تأتي إلا مرتين في اليوم. كان في الموقف ناس يحملون السلال.",
+}
+
+
+def made_up(seed, words=120):
+    r = random.Random(seed)
+    said = [("".join(r.choice("bdfgklmnprstvz") + r.choice("aeo") for _ in range(r.randint(1, 4)))) for _ in range(words)]
+    return " ".join(w.capitalize() + "" if i % 9 == 0 else w + ("." if i % 9 == 8 else "") for i, w in enumerate(said))
+
+
+@pytest.mark.parametrize("beside", [0, 60])
+def test_prose_of_any_language(spark, beside):
+    texts = [*FOREIGN.values(), *(made_up(i) for i in range(5)), *([EN * 4] * beside)]
+    got = {r.doc_id: r for r in classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].kind for i in range(len(FOREIGN))] == ["prose"] * len(FOREIGN)
+    assert [got[len(FOREIGN) + i].kind for i in range(5)] == ["junk"] * 5
+    assert {got[i].language for i in range(len(FOREIGN))} == {"other"}
+
+
+def test_the_distance_decides(spark, monkeypatch):
+    from chunkloom.llm import textstats
+
+    df = spark.createDataFrame(list(enumerate(PROSE + LISTS + TABLES + JUNK)), "doc_id long, text string")
+    rows = classify(df).collect()
+    lead = {"list_share": "list", "table_share": "table", "other_share": "junk"}
+    for r in rows:
+        assert r.kind == ("prose" if r.distance <= 32.909 else lead[max(lead, key=r.contributions.get)])
+    monkeypatch.setattr(textstats.ProseModel, "contributions", lambda self, lang, x: 0.0 * x)
+    assert {r.kind for r in classify(df).collect()} == {"prose"}
+
+
+def test_the_estimate_is_robust(spark):
+    # two fifths of the texts that are in a language by their words are mostly rows
+    rows = [EN * 2 + "\n" + "\n".join(f"| {w} | {i * 7}.5 | {i}{i}{i}-{i * 13}-{i * 101} | {i * 999983} |" for i, w in enumerate("red blue green iron paper salt quiet rapid north south east west".split()))]
+    texts = [EN * (3 + i % 4) for i in range(60)] + rows * 40
+    got = {r.doc_id: r.kind for r in classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(100)] == ["prose"] * 60 + ["table"] * 40
