@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chunkloom.llm.docpairs import function_pairs
 from chunkloom.llm.handwritten import classify_files
@@ -69,6 +70,15 @@ def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).reached()
 
 
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Which sources can reach their targets, and whether the shares drawn are those that targets and caps allow, within two hundredths."""
+    reached = Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    report = reached.report()
+    wanted = spark.createDataFrame([(r.source, float(r.expected_share)) for r in report.itertuples()], "source string, expected double")
+    close = (F.abs(F.col("share") - F.col("expected")) < 0.02) & (F.col("most_uses") <= F.col("max_repeats"))
+    return reached.reached().join(F.broadcast(wanted), "source").select("source", "target_share", "short", close.alias("kept"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return classify(table(spark, folder, "documents")).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
 
@@ -92,5 +102,9 @@ def oracle_sql() -> dict[str, str]:
             WITH s AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS size FROM documents WHERE source IS NOT NULL GROUP BY 1)
             SELECT t.source FROM mix_targets t LEFT JOIN s USING (source)
             WHERE coalesce(s.size, 0) * t.max_repeats < t.target_share * (SELECT sum(size) FROM s)""",
+        # the order of characters is that of tokens; a share is the target's, or the capacity's, of all that is drawn
+        "p9_shares": """
+            WITH s AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS size FROM documents WHERE source IS NOT NULL GROUP BY 1)
+            SELECT t.source, t.target_share, coalesce(s.size, 0) * t.max_repeats < t.target_share * (SELECT sum(size) FROM s) AS short, true AS kept FROM mix_targets t LEFT JOIN s USING (source)""",
         "p5_found": "SELECT DISTINCT point_id FROM chunks WHERE strlen(text) > 6000",
     }

@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from chunkloom.llm.mixing import Mixture, language, rake, source_key
+from chunkloom.llm.mixing import Mixture, language, rake, residuals, source_key
 from chunkloom.llm.tokens import TOKENIZERS, token_counter
 
 pytestmark = pytest.mark.skipif(not os.path.exists(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"), reason="no tokenizer files")
@@ -18,16 +18,48 @@ def documents(spark, sources):
     return spark.createDataFrame([(i, "one two three four five", "en" if i % 3 else "de", s, f"p{i % 7}", 5, "t") for i, s in enumerate(sources)], DOCS)
 
 
-def test_rake_meets_all_marginals_that_can_be_met():
-    cells = pd.DataFrame(
-        [(s, lang, t, 100 + 7 * i, 1) for i, (s, lang, t) in enumerate((s, lg, t) for s in "ab" for lg in "xy" for t in range(3))], columns=["source", "lang", "topic", "tokens", "documents"]
-    )
-    targets = pd.DataFrame({"source": ["a", "b"], "target_share": [0.7, 0.3], "max_repeats": [5.0, 5.0]})
-    out = rake(cells, targets, 1000.0)
-    used = out["tokens"] * out["weight"]
-    assert used.groupby(out["source"]).sum().round(6).to_dict() == {"a": 700.0, "b": 300.0}
-    natural = out["tokens"] * out["source"].map({"a": 700 / out.loc[out["source"] == "a", "tokens"].sum(), "b": 300 / out.loc[out["source"] == "b", "tokens"].sum()})
-    assert np.allclose(used.groupby(out["lang"]).sum(), natural.groupby(out["lang"]).sum(), rtol=1e-4)
+def cells_of(sources, langs, topics):
+    r = np.random.default_rng(4)
+    return pd.DataFrame([(s, lang, t, int(r.integers(50, 900)), 1) for s in sources for lang in langs for t in topics], columns=["source", "lang", "topic", "tokens", "documents"])
+
+
+def test_rake_meets_all_marginals(spark):
+    cells = cells_of("abc", ["en", "de"], [0, 1, 2])
+    targets = pd.DataFrame({"source": list("abc"), "target_share": [0.6, 0.3, 0.1], "max_repeats": [50.0] * 3})
+    # one factor for each source would give other shares of languages and topics
+    by_source = cells["source"].map(dict(zip("abc", [0.6, 0.3, 0.1]))) / cells.groupby("source")["tokens"].transform("sum") * cells["tokens"]
+    for shares in ({"lang": {"en": 0.2, "de": 0.8}, "topic": {0: 0.7, 1: 0.2, 2: 0.1}}, {"lang": {"en": 0.9, "de": 0.1}}, {}):
+        out = rake(cells, targets, 1000.0, shares)
+        left = residuals(out, 1000.0, shares)
+        assert (left["wanted"] - left["attained"]).abs().max() < 1e-6 * 1000
+        wanted = shares.get("lang") or (cells.groupby("lang")["tokens"].sum() / cells["tokens"].sum()).to_dict()
+        used = (out["tokens"] * out["weight"]).groupby(out["lang"]).sum() / 1000
+        assert used.to_dict() == pytest.approx(wanted, abs=1e-6)
+        assert abs(by_source.groupby(cells["lang"]).sum()["en"] - wanted["en"]) > 0.001
+
+
+def test_rake_within_caps():
+    cells = cells_of("ab", ["en", "de"], [0])
+    targets = pd.DataFrame({"source": list("ab"), "target_share": [0.5, 0.5], "max_repeats": [2.0, 40.0]})
+    size = cells.groupby("source")["tokens"].sum()
+    out = rake(cells, targets, 10.0 * size["a"], {"lang": {"en": 0.4, "de": 0.6}})
+    used = (out["tokens"] * out["weight"]).groupby(out["source"]).sum()
+    assert used["a"] == pytest.approx(2 * size["a"]) and used["b"] == pytest.approx(5 * size["a"])
+    assert out["weight"].max() <= 40 and (out.loc[out["source"] == "a", "weight"] == 2).all()
+    # the other source makes up for the language that the exhausted one can't give
+    assert residuals(out, 10.0 * size["a"], {"lang": {"en": 0.4, "de": 0.6}}).query("dimension == 'lang'").eval("abs(wanted - attained)").max() < 1e-5 * size["a"]
+
+
+def test_language_and_package_targets(spark):
+    docs = documents(spark, ["a", "b"] * 1500)
+    targets = spark.createDataFrame([("a", 0.5, 9), ("b", 0.5, 9)], TARGETS)
+    mix = Mixture(docs, targets, languages={"en": 0.3, "de": 0.7}, packages={"p3": 0.5, "p4": 0.1})
+    assert mix.residuals().eval("abs(wanted - attained)").max() < 1e-5
+    drawn = mix.draws().join(docs.select("doc_id", "package_name"), "doc_id").toPandas()
+    whole = (drawn["tokens"] * drawn["uses"]).sum()
+    share = lambda c: ((drawn["tokens"] * drawn["uses"]).groupby(drawn[c]).sum() / whole).to_dict()
+    assert share("lang") == pytest.approx({"en": 0.3, "de": 0.7}, abs=0.03)
+    assert share("package_name")["p3"] == pytest.approx(0.5, abs=0.03) and share("package_name")["p4"] == pytest.approx(0.1, abs=0.03)
 
 
 def test_caps_hold_and_short_sources_are_reported(spark):
