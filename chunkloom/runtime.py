@@ -36,13 +36,13 @@ class Scratch:
     """A folder below the shared one that holds the intermediate tables of one operator call.
 
     Readers of a table made here are lazy, so nothing is deleted when the operator returns: ``close`` removes the
-    folder once the caller has consumed the result; the end of the driver removes what is left in a mounted folder.
+    folder once the caller has consumed the result; the end of the driver removes what is left.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(_remove, self.path)
+        atexit.register(_remove, spark, self.path)
 
     def write(self, df: DataFrame, name: str, *, partition_by: tuple[str, ...] = (), mode: str = "errorifexists") -> DataFrame:
         """Materialise ``df`` as a Parquet table and return a reader of it with a fresh, short lineage."""
@@ -53,14 +53,58 @@ class Scratch:
         writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def close(self) -> None:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(fs_path, True)
-
+    def remove(self, name: str) -> None:
+        """Removes a table that nothing reads any more."""
+        SharedFiles(self.spark, self.path).delete(name)
 
-def _remove(path: str) -> None:
-    if path.startswith("file://"):
-        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+    def close(self) -> None:
+        _remove(self.spark, self.path)
+
+
+class SharedFiles:
+    """Small files below a folder of any file system that Spark can reach."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.hadoop, self.path = spark._jvm.org.apache.hadoop.fs, path.rstrip("/")
+        self.fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self.utils = spark._jvm.org.apache.commons.io.IOUtils
+
+    def _at(self, name: str):
+        return self.hadoop.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self._at(""))] if self.fs.exists(self._at("")) else []
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self._at(name))
+        try:
+            return self.utils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def put(self, name: str, text: str) -> None:
+        """Writes a file whole or not at all: under another name first, then renamed. A file of that name must not exist."""
+        new = self._at(f".{name}.new")
+        stream = self.fs.create(new, True)
+        try:
+            stream.write(bytearray(text.encode()))
+            stream.hsync()
+        finally:
+            stream.close()
+        if not self.fs.rename(new, self._at(name)):
+            raise FileExistsError(f"{self.path}/{name}")
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self._at(name), True)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of any file system, as far as the session, or else the mounted folder, still allows it."""
+    try:
+        SharedFiles(spark, path).delete("")
+    except Exception:  # the session has ended
+        if path.startswith("file:"):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
