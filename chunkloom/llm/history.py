@@ -1,21 +1,29 @@
 """Deduplicating new batches against everything already accepted.
 
 Method: texts are known by fingerprints of their lines, and of their lines without each of the words that might be a changed name
-(winnowed runs of words can't promise to meet: in short lines a frequent changed name is in every run). A persistent store holds, for every distinct text, hashes of its
-lines and its fingerprints, and partitioned Bloom filters over the fingerprints. The fingerprints of a batch are first screened by the
-filters; only positives are looked up in the store. Texts that share enough fingerprints with a held one are
-verified by the share of lines that they keep. Then the batch enters both the store and the filters. The texts of the
+(winnowed runs of words can't promise to meet: in short lines a frequent changed name is in every run), and by keys: their class (texts equal apart from layout) and, where
+they are told, the file's ``content_hash`` and ``blob_id`` with the place in the file. A persistent store holds, for every class of texts, hashes of its
+lines, its fingerprints, and partitioned Bloom filters over the fingerprints. The fingerprints of a batch are first screened by the
+filters; only positives are looked up in the store. Texts that share enough fingerprints, or a key, with a held one are
+verified by the share of lines that they keep, whatever their keys say. Then the batch enters both the store and the filters. The texts of the
 history are read once, when the store is made, and never again.
 
+Layout: postings and held rows lie in folders by part of their hash, and by the version (founding or batch) that brought them. A batch reads only the parts that its positives
+and candidates fall in, adds a version of its own with small filters for what it brings, and rewrites nothing. When the parts have grown beyond their
+size, or versions are many, they are rewritten into more parts, which happens ever more seldom as the store grows. A
+manifest, written last, says what belongs to the store: a batch that failed half way has changed nothing.
+
 Hot fingerprints (stock lines that very many texts share): a fingerprint's first few postings make up tier 0, the
-rest tier 1. All lookups read tier 0. Tier 1 is read only for texts still unmatched so much of whose fingerprints
+rest tier 1; ranks are taken in salted groups first, so that no task sorts all holders. All lookups read tier 0. Tier 1 is read only for texts still unmatched so much of whose fingerprints
 are hot that a match might hide behind them, so nothing is dropped and no text meets all holders of a stock line in
-vain. Texts that are equal apart from layout are one class, held once.
+vain.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -24,11 +32,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from chunkloom.llm.fingerprints import Bloom, WordArrays, class_of, kept_share, word_lines
-from chunkloom.runtime import Scratch
+from chunkloom.runtime import Scratch, SharedFiles
 
-_READ = "key string, seq long, cls binary, id long, hashes array<long>, fps array<long>, labels array<string>"
-#: rows that a Bloom filter is sized for, and bits per row
-_PART_ROWS, _BITS = 500_000, 12
+_READ = "b int, key string, seq long, cls binary, id long, hashes array<long>, fps array<long>, labels array<string>"
+_HELD = "id long, key string, seq long, labels array<string>, hashes array<long>, v int, part int"
+_POSTINGS = "fp long, id long, seq long, fresh boolean, v int, tier int, part int"
+_FILTERS = "part int, bits binary, v int"
+#: bits of a Bloom filter per fingerprint
+_BITS = 12
+#: ranks are taken in this many groups of a fingerprint's holders first
+_SALTS = 16
 
 
 def _read_texts(often: float):
@@ -45,12 +58,15 @@ def _read_texts(often: float):
                 ids = np.array([int.from_bytes(c[:8], "little", signed=True) for c in classes], np.int64)
                 words = WordArrays(lines)
                 owner, fps = words.line_prints(often)
-                # the class itself is a fingerprint too: texts of one class always meet
-                owner = np.concatenate((owner, np.arange(len(ids))))
-                fps = np.concatenate((fps.view(np.int64), ids ^ 0x5555555555555555))
+                # keys are odd, fingerprints of lines even
+                keys = batch["keys"].tolist()
+                told = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+                own = np.concatenate([np.asarray(k, np.int64) for k in keys]) if len(told) else np.zeros(0, np.int64)
+                owner = np.concatenate((owner, np.arange(len(ids)), told))
+                fps = np.concatenate((fps.view(np.int64) & ~1, (ids ^ 0x5555555555555555) | 1, own | 1))
                 order = np.argsort(owner, kind="stable")
-                each = np.split(fps[order], np.cumsum(np.bincount(owner, minlength=len(ids)))[:-1])
-                yield pd.DataFrame({"key": batch["key"], "seq": batch["seq"], "cls": classes, "id": ids, "hashes": words.line_hashes(), "fps": each, "labels": batch["labels"]})
+                each = [np.unique(x) for x in np.split(fps[order], np.cumsum(np.bincount(owner, minlength=len(ids)))[:-1])]
+                yield pd.DataFrame({"b": batch["b"], "key": batch["key"], "seq": batch["seq"], "cls": classes, "id": ids, "hashes": words.line_hashes(), "fps": each, "labels": batch["labels"]})
 
     return run
 
@@ -59,199 +75,295 @@ def _verify(enough: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             share = [kept_share(a, b, enough) for a, b in zip(batch["new_hashes"], batch["held_hashes"])]
-            out = pd.DataFrame({"id": batch["id"], "held": batch["held"], "share": np.array(share, float)})
+            out = batch.drop(columns=["new_hashes", "held_hashes"]).assign(share=np.array(share, float))
             out.loc[out["id"] == out["held"], "share"] = 1.0  # one class, though its lines may be broken elsewhere
             yield out[out["share"] >= enough]
 
     return run
 
 
+def _file_keys(rows: DataFrame) -> Column:
+    """What tells the place of a text in a known file: its ``content_hash`` or ``blob_id``, in one spelling, with ``chunk_ordinal``."""
+    if "chunk_ordinal" not in rows.columns:
+        return F.array().cast("array<long>")
+    found = []
+    for name in ("content_hash", "blob_id"):
+        if name in rows.columns:
+            said = F.regexp_extract(F.lower(F.trim(F.col(name).cast("string"))), r"([0-9a-f]{16,})$", 1)
+            found.append(F.when((said != "") & F.col("chunk_ordinal").isNotNull(), F.xxhash64(F.lit(name), said, "chunk_ordinal")))
+    return F.array_compact(F.array(*found).cast("array<long>"))
+
+
 class History:
-    """The persistent store of one collection of texts, in a folder of ``scratch``.
+    """The persistent store of one collection of texts, in the folder ``path``; an existing one is opened and goes on with its own parameters.
 
     Two texts that keep the share ``enough`` of the longer one's lines share at least half as many fingerprints (see
-    :meth:`WordArrays.line_prints`), so that many are asked for; ``head`` is the number of postings of a fingerprint in tier 0; ``broadcast_rows`` bounds what is broadcast in lookups.
+    :meth:`WordArrays.line_prints`), so that many are asked for; ``head`` is the number of postings of a fingerprint in tier 0; ``part_rows`` is the number of
+    fingerprints that a part is meant for, ``most_versions`` that of the versions a lookup may meet; ``broadcast_rows`` bounds what is broadcast in lookups. One writer at a time.
     """
 
     def __init__(
-        self, spark: SparkSession, scratch: Scratch, *, enough: float = 0.5, head: int = 8, broadcast_rows: int = 2_000_000
+        self,
+        spark: SparkSession,
+        path: str,
+        *,
+        enough: float = 0.5,
+        head: int = 8,
+        broadcast_rows: int = 2_000_000,
+        part_rows: int = 500_000,
+        most_versions: int = 64,
     ):
-        self.spark, self.scratch, self.broadcast_rows = spark, scratch, broadcast_rows
-        self.enough, self.head = enough, head
-        self.held: list[DataFrame] = []  # (id, key, seq, labels, hashes, fps), a row per class
-        self.postings: list[DataFrame] = []  # (tier, fp, id)
-        self.filters: DataFrame | None = None
-        self.parts, self.version = 0, 0
+        self.spark, self.path, self.broadcast_rows = spark, path.rstrip("/"), broadcast_rows
+        self.scratch = Scratch(spark, "history")
+        self.files = SharedFiles(spark, self.path)
+        self.state = self._manifest() or {
+            "number": 0, "enough": enough, "head": head, "part_rows": part_rows, "most_versions": most_versions, "next": 0, "parts": 1, "held_parts": 1, "rows": 0, "postings": [], "held": [],
+        }
+        self.enough, self.head = self.state["enough"], self.state["head"]
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, **how) -> History:
+        """An existing store; an error if there is none."""
+        store = cls(spark, path, **how)
+        if not store.exists:
+            raise FileNotFoundError(f"no store at {path}")
+        return store
+
+    @property
+    def exists(self) -> bool:
+        return self.state["number"] > 0
+
+    def close(self) -> None:
+        """Removes what the screening of batches left behind; results that were not consumed are lost, the store isn't."""
+        self.scratch.close()
+
+    # --- what belongs to the store
+
+    def _manifest(self) -> dict | None:
+        numbers = [int(name[9:-5]) for name in self.files.names() if name.startswith("manifest-") and name.endswith(".json")]
+        return json.loads(self.files.read(f"manifest-{max(numbers):010d}.json")) if numbers else None
+
+    def _commit(self, **changed) -> None:
+        self.state = {**self.state, **changed, "number": self.state["number"] + 1}
+        self.files.put(f"manifest-{self.state['number']:010d}.json", json.dumps(self.state))
+
+    def _table(self, name: str, versions: list[int], schema: str) -> DataFrame:
+        """The committed versions of a table, with ``v`` and the folders' columns."""
+        paths = [f"{self.path}/{name}/v={v}" for v in versions]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*paths)
+
+    def _write(self, df: DataFrame, name: str, v: int, *folders: str) -> None:
+        """A version of a table. What a failed run left there is overwritten."""
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*folders) if folders else writer).parquet(f"{self.path}/{name}/v={v}")
+
+    def _part(self, column: str, parts: int) -> Column:
+        return F.pmod(F.shiftright(column, 17), F.lit(parts)).cast("int").alias("part")
+
+    def _in_parts(self, table: DataFrame, wanted: DataFrame, column: str, parts: int) -> tuple[DataFrame, int]:
+        """The rows of a table in the parts that the wanted values fall in, and how many values there are; as many numbers as there are parts, at most, reach the driver."""
+        counts = wanted.groupBy(self._part(column, parts)).count().collect()
+        touched = sorted(r[0] for r in counts)
+        return (table.where(F.col("part").isin(touched)) if touched else table.where(F.lit(False))), sum(r[1] for r in counts)
 
     def _small(self, df: DataFrame, rows: int) -> DataFrame:
         """A table of a known number of narrow rows: broadcast within the bound, else joined by shuffling."""
         return F.broadcast(df) if rows <= self.broadcast_rows else df
 
-    def _distinct(self, rows: DataFrame, key: Column, seq: Column) -> tuple[DataFrame, DataFrame]:
-        """The texts that hold words, read; and one row per class of them: its first member with that one's labels."""
+    # --- texts
+
+    def _read(self, rows: DataFrame, key: Column, seq: Column, number: Column | None = None) -> DataFrame:
+        """The texts that hold words, read; ``b`` is the number of their batch."""
         named = rows.select(
+            (F.lit(None) if number is None else number).cast("int").alias("b"),
             key.cast("string").alias("key"),
             seq.cast("long").alias("seq"),
             "text",
             F.coalesce("active_label_ids", F.array().cast("array<string>")).alias("labels"),
+            _file_keys(rows).alias("keys"),
         )
-        read = named.where("key is not null and text is not null").mapInPandas(_read_texts(self.enough / 2), _READ)
-        distinct = (
-            read.groupBy("cls")
+        return named.where("key is not null and text is not null").mapInPandas(_read_texts(self.enough / 2), _READ)
+
+    def _distinct(self, read: DataFrame) -> DataFrame:
+        """One row per batch and class of texts: its first member with that one's labels."""
+        return (
+            read.groupBy("b", "cls")
             .agg(F.min(F.struct("seq", "key", "labels")).alias("f"), *(F.first(c).alias(c) for c in ("id", "hashes", "fps")))
-            .select("id", F.col("f.key").alias("key"), F.col("f.seq").alias("seq"), F.col("f.labels").alias("labels"), "hashes", "fps")
+            .select("b", "id", F.col("f.key").alias("key"), F.col("f.seq").alias("seq"), F.col("f.labels").alias("labels"), "hashes", "fps")
         )
-        return read, distinct
-
-    def _all_held(self, *columns: str | Column) -> DataFrame:
-        out = self.held[0].select(*columns)
-        for part in self.held[1:]:
-            out = out.unionByName(part.select(*columns))
-        return out
 
     # --- postings and filters
 
-    def _part(self) -> Column:
-        return F.pmod(F.shiftright("fp", 17), F.lit(self.parts)).cast("int").alias("part")
-
     def _tiers(self, fingers: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-        """The fingerprints with their tier: the first ``head`` holders, in the store and here, are tier 0."""
-        ranked = fingers.withColumn("at", F.row_number().over(Window.partitionBy("fp").orderBy("seq", "id")))
+        """The fingerprints with their tier: the first ``head`` holders, in the store and here, are tier 0.
+
+        Who isn't among the first of a salted group isn't among the first of all; only the first of the groups are ranked again.
+        """
+        near = F.row_number().over(Window.partitionBy("fp", F.pmod("id", F.lit(_SALTS))).orderBy("seq", "id"))
+        ranked = fingers.withColumn("near", near <= self.head)
+        ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("fp", F.when(F.col("near"), F.lit(0)).otherwise(F.col("id"))).orderBy("seq", "id")))
         if taken is not None:
             ranked = ranked.join(taken, "fp", "left").withColumn("at", F.col("at") + F.coalesce("taken", F.lit(0)))
-        return ranked.withColumn("tier", F.when(F.col("at") <= self.head, 0).otherwise(1))
+        return ranked.withColumn("tier", F.when(F.col("near") & (F.col("at") <= self.head), 0).otherwise(1))
 
-    def _store(self, held: DataFrame, tiers: DataFrame) -> None:
-        v = self.version
-        self.held.append(held)
-        written = self.scratch.write(tiers.select("fp", "id", "tier"), f"postings-{v}", partition_by=("tier",))
-        self.postings.append(written)
-        # every fingerprint has a tier-0 posting in the version that brings it, and few of them
-        self._filter(written.where("tier = 0").select("fp"))
-        self.version += 1
+    def _post(self, tiers: DataFrame, v: int, parts: int) -> None:
+        rows = tiers.select("fp", "id", "seq", "fresh", "tier", self._part("fp", parts))
+        # tier 1 of a hot fingerprint may be most of its part: it is written by several tasks
+        several = F.when(F.col("tier") == 1, F.pmod("id", F.lit(_SALTS))).otherwise(-1)
+        self._write(rows.repartition(parts, "part", several), "postings", v, "tier", "part")
 
-    def _filter(self, fps: DataFrame) -> None:
-        """Adds fingerprints to the filters of their parts; every part is of bounded size."""
-        if not self.parts:
-            self.parts = max(1, -(-2 * fps.count() // _PART_ROWS))  # with room for as much again
-        bits = _PART_ROWS * _BITS
+    def _filter(self, v: int, parts: int) -> int:
+        """Writes the filters of a version's parts; returns how many fingerprints they are for."""
 
-        def add(key, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-            held = Bloom(bits, old["bits"].iloc[0] if len(old) else None)
-            held.add(new["fp"].to_numpy(np.int64).view(np.uint64))
-            return pd.DataFrame({"part": [key[0]], "bits": [held.data.tobytes()]})
+        def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            bloom = Bloom(8 * max(128, -(-len(rows) * _BITS // 8)))  # whole bytes: a filter's size tells its bits
+            bloom.add(rows["fp"].to_numpy(np.int64).view(np.uint64))
+            return pd.DataFrame({"part": [key[0]], "bits": [bloom.data.tobytes()], "rows": [len(rows)]})
 
-        old = self.filters if self.filters is not None else self.spark.createDataFrame([], "part int, bits binary")
-        added = fps.select(self._part(), "fp").groupBy("part").cogroup(old.groupBy("part")).applyInPandas(add, "part int, bits binary")
-        self.filters = self.scratch.write(added, f"filters-{self.version}")
+        # every fingerprint has a tier-0 posting in the version that brings it, and few of them
+        fps = self._table("postings", [v], _POSTINGS).where("tier = 0 and fresh").select("part", "fp")
+        self._write(fps.groupBy("part").applyInPandas(fill, "part int, bits binary, rows long"), "filters", v)
+        return self.spark.read.parquet(f"{self.path}/filters/v={v}").agg(F.coalesce(F.sum("rows"), F.lit(0))).head()[0]
 
     def _screen(self, fps: DataFrame) -> DataFrame:
         """The fingerprints that the filters don't rule out."""
-        bits = _PART_ROWS * _BITS
 
-        def holds(_, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-            if not len(old) or not len(new):
-                return new[["fp"]].iloc[:0]
-            return new.loc[Bloom(bits, old["bits"].iloc[0]).holds(new["fp"].to_numpy(np.int64).view(np.uint64)), ["fp"]]
+        def holds(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+            fps = new["fp"].to_numpy(np.int64).view(np.uint64)
+            held = np.zeros(len(fps), bool)
+            for data in old["bits"]:
+                held[~held] = Bloom(len(data) * 8, data).holds(fps[~held])
+            return new.loc[held, ["fp"]]
 
-        return fps.select(self._part(), "fp").groupBy("part").cogroup(self.filters.groupBy("part")).applyInPandas(holds, "fp long")
+        filters = self._table("filters", self.state["postings"], _FILTERS).select("part", "bits")
+        return fps.select(self._part("fp", self.state["parts"]), "fp").groupBy("part").cogroup(filters.groupBy("part")).applyInPandas(holds, "fp long")
 
-    def _lookup(self, tier: int, fps: DataFrame, rows: int) -> DataFrame:
+    def _lookup(self, tier: int, fps: DataFrame) -> DataFrame:
         """``(fp, held)`` of the wanted fingerprints in the store."""
-        out = self.postings[0].where(F.col("tier") == tier)
-        for p in self.postings[1:]:
-            out = out.unionByName(p.where(F.col("tier") == tier))
-        return out.select("fp", F.col("id").alias("held")).join(self._small(fps, rows), "fp")
+        held, rows = self._in_parts(self._table("postings", self.state["postings"], _POSTINGS), fps, "fp", self.state["parts"])
+        return held.where((F.col("tier") == tier) & F.col("fresh")).select("fp", F.col("id").alias("held")).join(self._small(fps, rows), "fp")
 
     # --- the operations
 
     def found(self, history: DataFrame, key: str = "point_id") -> None:
         """Makes the store from the accepted texts; repeats of a key and equal texts are held once."""
-        _, distinct = self._distinct(history, F.col(key), F.lit(-1))
-        held = self.scratch.write(distinct, "held-0")
-        self._store(held, self._tiers(held.select("id", "seq", F.explode("fps").alias("fp"))))
+        distinct = self.scratch.write(self._distinct(self._read(history, F.col(key), F.lit(-1))), "founding")
+        sizes = distinct.agg(F.count("*"), F.coalesce(F.sum(F.size("fps")), F.lit(0))).head()
+        parts = _power(sizes[1] / self.state["part_rows"])
+        held_parts = _power(8 * sizes[0] / self.state["part_rows"])  # a held row is about as large as eight postings
+        self._hold(distinct, 0, held_parts)
+        self._post(self._tiers(distinct.select("id", "seq", F.explode("fps").alias("fp"))).withColumn("fresh", F.lit(True)), 0, parts)
+        rows = self._filter(0, parts)
+        self._commit(next=1, parts=parts, held_parts=held_parts, rows=rows, postings=[0], held=[0])
+        self.scratch.remove("founding")
+
+    def _hold(self, distinct: DataFrame, v: int, parts: int) -> None:
+        rows = distinct.select("id", "key", "seq", "labels", "hashes", self._part("id", parts))
+        self._write(rows.repartition(parts, "part"), "held", v, "part")
+
+    def compact(self) -> None:
+        """Rewrites the store as one version, in as many parts as it now needs."""
+        v = self.state["next"]
+        postings = self._table("postings", self.state["postings"], _POSTINGS).where("fresh")
+        held = self._table("held", self.state["held"], _HELD)
+        parts, held_parts = _power(postings.count() / self.state["part_rows"]), _power(8 * held.count() / self.state["part_rows"])
+        self._hold(held, v, held_parts)
+        self._post(self._tiers(postings.select("fp", "id", "seq")).withColumn("fresh", F.lit(True)), v, parts)
+        rows = self._filter(v, parts)
+        old = self.state
+        self._commit(next=v + 1, parts=parts, held_parts=held_parts, rows=rows, postings=[v], held=[v])
+        for name, versions in (("postings", old["postings"]), ("filters", old["postings"]), ("held", old["held"])):
+            for gone in versions:
+                self.files.delete(f"{name}/v={gone}")
 
     def screen(self, batch: DataFrame, key: str = "incoming_id") -> DataFrame:
         """``(key, held_key, held_seq, share, gained)`` of the batch's texts that are held already; then the batch is held too.
 
         A text is held if it is in the store or in a row of the batch with a smaller key. ``held_key`` is the best
-        match (of equal shares the earliest), ``gained`` the labels of the new row that the held one lacks.
+        match (of equal shares the earliest) of the texts that it was compared with; a text of the same class always is one. ``gained`` are the labels of the new row that the held one lacks.
+        The result reads tables that :meth:`close` removes.
         """
-        v, write = self.version, self.scratch.write
-        read, _ = self._distinct(batch, F.col(key), F.col(key))
-        read = write(read, f"read-{v}")
-        distinct = write(
-            read.groupBy("cls")
-            .agg(F.min(F.struct("seq", "key", "labels")).alias("f"), *(F.first(c).alias(c) for c in ("id", "hashes", "fps")))
-            .select("id", F.col("f.key").alias("key"), F.col("f.seq").alias("seq"), F.col("f.labels").alias("labels"), "hashes", "fps"),
-            f"distinct-{v}",
-        )
-        texts = distinct.count()
+        v = self.state["next"]
+        read = self.scratch.write(self._read(batch, F.col(key), F.col(key)), f"read-{v}")
+        distinct = self.scratch.write(self._distinct(read), f"distinct-{v}")
+        return self._screened(read, distinct, distinct.count())
+
+    def screen_all(self, batches: DataFrame, number: str = "batch_no", key: str = "incoming_id") -> list[tuple[int | None, DataFrame]]:
+        """Screens batches that have all arrived, in order of their number (none is last), each as :meth:`screen` does; their texts are read in one go."""
+        v = self.state["next"]
+        read = self.scratch.write(self._read(batches, F.col(key), F.col(key), F.col(number)), f"read-{v}", partition_by=("b",))
+        distinct = self.scratch.write(self._distinct(read), f"distinct-{v}", partition_by=("b",))
+        numbers = sorted(distinct.groupBy("b").count().collect(), key=lambda r: (r[0] is None, r[0]))
+        own = lambda df, number: df.where(F.col("b").eqNullSafe(F.lit(number)))
+        return [(n, self._screened(own(read, n), own(distinct, n), texts)) for n, texts in numbers]
+
+    def _screened(self, read: DataFrame, distinct: DataFrame, texts: int) -> DataFrame:
+        v, write = self.state["next"], lambda df, name: self.scratch.write(df, f"{name}-{v}")
         own = distinct.select("id", "seq", F.size("hashes").alias("n"), F.explode("fps").alias("fp"))
-        positive = write(self._screen(own.select("fp").distinct()), f"positive-{v}")
-        hits = write(self._lookup(0, positive, positive.count()), f"hits-{v}")
+        positive = write(self._screen(own.select("fp").distinct()), "positive")
+        hits = write(self._lookup(0, positive), "hits")
         taken = hits.groupBy("fp").agg(F.count("*").cast("int").alias("taken"))
-        tiers = write(self._tiers(own, taken), f"tiers-{v}")
+        # a class has one posting of its own key, which never is hot: classes that the store lacks are those without
+        known = hits.where(F.col("fp") == F.col("held").bitwiseXOR(F.lit(0x5555555555555555)).bitwiseOR(F.lit(1))).select(F.col("held").alias("id"), F.lit(False).alias("fresh"))
+        tiers = self._tiers(own, taken).join(self._small(known, texts), "id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(True)))
+        with ThreadPoolExecutor(2) as beside:
+            # update the store, while the texts are compared: classes that it lacks, and the filters
+            holding = beside.submit(self._hold, distinct.join(self._small(known.select("id"), texts), "id", "left_anti"), v, self.state["held_parts"])
+            self._post(tiers, v, self.state["parts"])
+            filtering = beside.submit(self._filter, v, self.state["parts"])
+            result = self._compared(read, distinct, own, hits, taken, texts, v)
+            holding.result()
+            rows = self.state["rows"] + filtering.result()
+        self._commit(next=v + 1, rows=rows, postings=[*self.state["postings"], v], held=[*self.state["held"], v])
+        if rows > 2 * self.state["part_rows"] * self.state["parts"] or len(self.state["postings"]) > self.state["most_versions"]:
+            self.compact()
+        return result
+
+    def _compared(self, read: DataFrame, distinct: DataFrame, own: DataFrame, hits: DataFrame, taken: DataFrame, texts: int, v: int) -> DataFrame:
+        write = lambda df, name: self.scratch.write(df, f"{name}-{v}")
+        tiers = self._table("postings", [v], _POSTINGS)
 
+        line = F.col("fp").bitwiseAND(F.lit(1)) == 0
         # tier 0 of the history, and of this batch's earlier texts
         earlier = tiers.where("tier = 0").select("fp", F.col("id").alias("held"), F.col("seq").alias("held_seq"))
         before = hits.withColumn("held_seq", F.lit(-2).cast("long")).unionByName(earlier)
         met = own.join(before, "fp").where("held_seq < seq")
         # fingerprints that have, or may have, holders in tier 1
         full = taken.where(F.col("taken") >= self.head).select("fp").unionByName(tiers.where("tier = 1").select("fp")).distinct()
-        hot = own.join(full, "fp").groupBy("id").agg(F.count("*").alias("hot"))
+        hot = write(own.where(line).join(full, "fp").groupBy("id", "n").agg(F.count("*").alias("hot")), "hot")
         need = F.ceil(F.col("n") * (self.enough / 2))
         hot_n = F.coalesce("hot", F.lit(0))
         # all holders of a fingerprint that isn't hot are in tier 0; texts that hot ones might match alone are looked up in tier 1 too
         least = F.when(hot_n < need, need - hot_n).otherwise(F.least(need, F.lit(2)))
         pairs = (
             met.groupBy("id", "held", "n")
-            .agg(F.count("*").alias("shared"))
-            .join(self._small(hot, texts), "id", "left")
-            .where((F.col("shared") >= least) | (F.col("id") == F.col("held")))
+            .agg(F.count_if(line).alias("shared"), F.count_if(~line).alias("keyed"))
+            .join(self._small(hot.select("id", "hot"), texts), "id", "left")
+            .where((F.col("shared") >= least) | (F.col("keyed") > 0))
             .select("id", "held")
         )
-
-        def verified(pairs: DataFrame, name: str) -> DataFrame:
-            pairs = write(pairs, f"{name}-pairs")
-            rows = pairs.count()
-            lines = self._all_held(F.col("id").alias("held"), F.col("hashes").alias("held_hashes")).unionByName(
-                distinct.select(F.col("id").alias("held"), F.col("hashes").alias("held_hashes"))
-            )
-            with_held = lines.join(self._small(pairs, rows), "held")
-            full = with_held.join(distinct.select("id", F.col("hashes").alias("new_hashes")), "id").select("id", "held", "new_hashes", "held_hashes")
-            # comparing takes longer than reading, so the pairs are spread by number, not by size
-            full = full.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "id", "held")
-            return write(full.mapInPandas(_verify(self.enough), "id long, held long, share double"), name)
-
-        sure = verified(pairs, f"sure-{v}")
+        sure = self._verified(write(pairs, "pairs"), distinct, write, "sure")
         # tier 1, for texts that tier 0 left unmatched although their hot fingerprints alone might make a match
-        open_ids = distinct.select("id", F.size("hashes").alias("n")).join(hot, "id").where(F.col("hot") >= need).join(sure, "id", "left_anti").select("id")
-        open_ids = write(open_ids, f"open-{v}")
+        open_ids = write(hot.where(F.col("hot") >= need).join(sure.select("id").distinct(), "id", "left_anti").select("id"), "open")
         if open_ids.head(1):
-            wanted = write(own.join(open_ids, "id").select("fp").distinct(), f"wanted-{v}")
-            tail = self._lookup(1, wanted, wanted.count()).withColumn("held_seq", F.lit(-2).cast("long"))
+            lost = own.where(line).join(open_ids, "id", "left_semi")
+            wanted = write(lost.select("fp").distinct(), "wanted")
+            tail = self._lookup(1, wanted).withColumn("held_seq", F.lit(-2).cast("long"))
             tail = tail.unionByName(before).unionByName(tiers.where("tier = 1").select("fp", F.col("id").alias("held"), F.col("seq").alias("held_seq")))
             deep = (
-                own.join(open_ids, "id", "left_semi")
-                .join(tail, "fp")
+                lost.join(tail, "fp")
                 .where("id <> held and held_seq < seq")
                 .groupBy("id", "held", "n")
                 .agg(F.countDistinct("fp").alias("shared"))
                 .where(F.col("shared") >= need)
                 .select("id", "held")
             )
-            sure = sure.unionByName(verified(deep, f"deep-{v}"))
-
-        about = (F.col("id").alias("held"), F.col("key").alias("held_key"), F.col("seq").alias("held_seq"), F.col("labels").alias("held_labels"))
-        heads = self._all_held(*about).unionByName(distinct.select(*about))
-        best = (
-            heads.join(self._small(sure, sure.count()), "held")
-            .groupBy("id")
-            .agg(F.min(F.struct((-F.col("share")).alias("less"), "held_seq", "held_key", "held_labels")).alias("m"))
-        )
+            sure = sure.unionByName(self._verified(write(deep, "deep"), distinct, write, "far"))
+        best = sure.groupBy("id").agg(F.min(F.struct((-F.col("share")).alias("less"), "held_seq", "held_key", "held_labels")).alias("m"))
         inside = distinct.select("id", F.col("key").alias("first_key"), F.col("seq").alias("first_seq"), F.col("labels").alias("first_labels"))
-        result = (
+        return (
             read.select("id", "key", "seq", "labels")
             .join(inside, "id")
             .join(best, "id", "left")
@@ -266,27 +378,38 @@ class History:
                 F.array_except("labels", F.when(F.col("copy"), F.col("first_labels")).otherwise(F.col("m.held_labels"))).alias("gained"),
             )
         )
-        result = write(result, f"result-{v}")
-        # update both: classes that the store lacks, and the filters
-        known = self._all_held("id").join(self._small(distinct.select("id"), texts), "id")
-        fresh = write(distinct.join(known, "id", "left_anti"), f"held-{v}")
-        self._store(fresh, tiers.join(fresh.select("id"), "id", "left_semi"))
-        return result
+
+    def _verified(self, pairs: DataFrame, distinct: DataFrame, write, name: str) -> DataFrame:
+        """The pairs that keep enough lines, with their share and what is told of the held text."""
+        about = (F.col("id").alias("held"), F.col("key").alias("held_key"), F.col("seq").alias("held_seq"), F.col("labels").alias("held_labels"), F.col("hashes").alias("held_hashes"))
+        stored, rows = self._in_parts(self._table("held", self.state["held"], _HELD), pairs.select(F.col("held").alias("id")), "id", self.state["held_parts"])
+        # a text of the batch may be of a class that the store holds too: that one is its match
+        both = stored.select(*about, F.lit(True).alias("stored")).unionByName(distinct.select(*about, F.lit(False).alias("stored")))
+        with_held = both.join(self._small(pairs, rows), "held")
+        full = with_held.join(distinct.select("id", F.col("hashes").alias("new_hashes"), F.col("seq").alias("own_seq")), "id").where("stored or held_seq < own_seq").drop("own_seq", "stored")
+        # comparing takes longer than reading, so the pairs are spread by number, not by size
+        full = full.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "id", "held")
+        return write(full.mapInPandas(_verify(self.enough), "held long, held_key string, held_seq long, held_labels array<string>, id long, share double"), name)
+
+
+def _power(parts: float) -> int:
+    """The least power of two that isn't below a number of parts."""
+    return 1 << max(0, int(np.ceil(np.log2(max(1.0, parts)))))
 
 
-def screen_batches(history: DataFrame, incoming: DataFrame, *, key: str = "incoming_id", batch: str = "batch_no", **how) -> DataFrame:
+def screen_batches(history: DataFrame, incoming: DataFrame, *, key: str = "incoming_id", batch: str = "batch_no", path: str | None = None, **how) -> DataFrame:
     """Screens the batches in order: ``(batch, key, held_key, held_seq, share, gained)`` of the rows whose text is held already.
 
     ``held_seq`` is -1 for a text of the history, else the key of the earlier row. Null texts, and texts without words,
     are never held; a row without a batch number belongs to a last batch. The number of batches is expected to be
-    small: each is one round of jobs. An empty history or incoming table gives an empty store or result.
+    small: each is one round of jobs. An empty history or incoming table gives an empty store or result. With ``path`` the store is kept there; if it exists
+    already it is opened and ``history``, which it holds, isn't read.
     """
     spark = history.sparkSession
-    store = History(spark, Scratch(spark, "history"), **how)
-    store.found(history)
-    numbers = sorted((r[0] for r in incoming.select(batch).distinct().collect()), key=lambda x: (x is None, x))
+    store = History(spark, path or f"{Scratch(spark, 'store').path}/store", **how)
+    if not store.exists:
+        store.found(history)
     out = spark.createDataFrame([], f"batch int, {key} long, held_key string, held_seq long, share double, gained array<string>")
-    for number in numbers:
-        found = store.screen(incoming.where(F.col(batch).eqNullSafe(F.lit(number))), key)
+    for number, found in store.screen_all(incoming, batch, key):
         out = out.unionByName(found.select(F.lit(number).cast("int").alias("batch"), F.col("key").cast("long").alias(key), "held_key", "held_seq", "share", "gained"))
     return out

@@ -1,10 +1,11 @@
 import random
+import re
 
 import numpy as np
 import pytest
 
 from chunkloom.llm.fingerprints import Bloom, class_of, kept_share, line_hashes, winnow, word_lines
-from chunkloom.llm.history import screen_batches
+from chunkloom.llm.history import History, screen_batches
 
 CHUNKS = "point_id string, text string, active_label_ids array<string>, id long, fp long"
 INCOMING = "incoming_id long, batch_no int, text string, active_label_ids array<string>, key string"
@@ -151,3 +152,69 @@ def test_changed_names_in_long_texts_and_repeated_lines():
     assert shares("\n".join(often), "\n".join(often).replace("someName", "otherName")) == 1.0
     # one line that is another one, however often, is no changed name
     assert shares("same\n" + "one\n" * 9, "same\n" + "two\n" * 9) == pytest.approx(0.1)
+
+
+def test_a_changed_name_however_often_in_a_line():
+    lines = [f"{w} " + " ".join(["someName"] * (1 + i % 9)) + f" x{i}" for i, w in enumerate(WORDS[:40])]
+    text = "\n".join(lines)
+    assert shares(text, text.replace("someName", "otherName")) == 1.0
+    assert shares(text.replace("someName", "otherName"), text) == 1.0
+
+
+def frames(spark, held, rows):
+    chunks = spark.createDataFrame([(f"c{i:03d}", t, ["cat:a"], 1, 2) for i, t in enumerate(held)], CHUNKS)
+    return chunks, spark.createDataFrame([(i, b, t, ["cat:a"], "x") for i, b, t in rows], INCOMING)
+
+
+def test_the_store_persists(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    chunks, first = frames(spark, [chunk(i) for i in range(30)], [(1, 1, edited(chunk(3), [0])), (2, 1, chunk(500))])
+    assert {r.incoming_id for r in screen_batches(chunks, first, path=path, part_rows=100).collect()} == {1}
+    # opened again, it holds the history, which isn't read, and the first batch
+    _, second = frames(spark, [], [(3, 2, edited(chunk(500), [1])), (4, 2, chunk(7)), (5, 2, chunk(600))])
+    got = {r.incoming_id: r.held_key for r in screen_batches(chunks.where("assert_true(false) is not null"), second, path=path).collect()}
+    assert got == {3: "2", 4: "c007"}
+    with pytest.raises(FileNotFoundError):
+        History.open(spark, f"file://{tmp_path}/nothing")
+
+
+def test_a_batch_that_fails_changes_nothing(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/store"
+    chunks, batch = frames(spark, [chunk(i) for i in range(10)], [(1, 1, chunk(500)), (2, 1, edited(chunk(500), [0]))])
+    store = History(spark, path)
+    store.found(chunks)
+    monkeypatch.setattr(History, "_commit", lambda self, **changed: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.screen(batch)
+    monkeypatch.undo()
+    store = History.open(spark, path)
+    assert {r.key: r.held_key for r in store.screen(batch).collect()} == {"2": "1"}
+    store.close()
+    assert {r.key for r in History.open(spark, path).screen(batch).collect()} == {"1", "2"}
+
+
+def test_only_the_parts_of_a_batch_are_read_and_parts_split_when_full(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    chunks, batch = frames(spark, [chunk(i) for i in range(60)], [(1, 1, chunk(7))])
+    store = History(spark, path, part_rows=60, most_versions=2)
+    store.found(chunks)
+    parts = store.state["parts"]
+    assert parts >= 16
+    wanted = spark.createDataFrame([(5 << 17,)], "fp long")
+    some, _ = store._in_parts(store._table("postings", store.state["postings"], "fp long, id long, seq long, fresh boolean, v int, tier int, part int"), wanted, "fp", parts)
+    assert {r.part for r in some.select("part").distinct().collect()} == {5}
+    assert some.select("fp").count() < 3 * store.state["rows"] / parts and re.search(r"PartitionFilters: .*part#\d+ = 5", some._jdf.queryExecution().executedPlan().toString())
+    for n in range(1, 4):
+        _, more = frames(spark, [], [(n * 100 + i, n, chunk(n * 1000 + i)) for i in range(30)])
+        assert store.screen(more).count() == 0
+    assert store.state["parts"] > parts and len(store.state["postings"]) <= 3
+    _, again = frames(spark, [], [(9000, 9, edited(chunk(2005), [2])), (9001, 9, chunk(12)), (9002, 9, chunk(99999))])
+    assert {r.key: r.held_key for r in store.screen(again).collect()} == {"9000": "205", "9001": "c012"}
+
+
+def test_hashes_find_candidates_but_prove_nothing(spark):
+    schema = "point_id string, text string, active_label_ids array<string>, content_hash string, blob_id string, chunk_ordinal int"
+    rows = [("a", chunk(1), ["c:x"], "sha256:" + "AB" * 32, "cd" * 20, 1), ("b", chunk(2), ["c:x"], None, "", 1), ("c", chunk(3), None, "zz", "ef" * 20, None)]
+    new = [(1, 1, chunk(50), ["c:x"], "ab" * 32, "cd" * 20, 1), (2, 1, edited(chunk(1), [1]), ["c:y"], "AB" * 32 + " ", None, 1), (3, 1, chunk(2), [], None, "", 1)]
+    got = screen_batches(spark.createDataFrame(rows, schema), spark.createDataFrame(new, "incoming_id long, batch_no int, text string, active_label_ids array<string>, content_hash string, blob_id string, chunk_ordinal int"))
+    assert {r.incoming_id: (r.held_key, list(r.gained)) for r in got.collect()} == {2: ("a", ["c:y"]), 3: ("b", [])}
