@@ -48,25 +48,6 @@ def distinct_points(chunks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     )
 
 
-def counted_points(chunks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Each ``point_id`` once with its keys alone: all that counting rows needs, so neither texts nor labels are read."""
-    return chunks.where("point_id is not null").groupBy("point_id").agg(F.max(F.struct(*keys)).alias("p")).select(*(F.col(f"p.{k}").alias(k) for k in keys))
-
-
-def _count(keys: tuple[str, ...]):
-    """Row counts alone, by dense arrays over the codes of each split."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key in keys:
-                encoded = batch.column(key).dictionary_encode(null_encoding="encode")
-                values = encoded.dictionary.cast(pa.string())
-                rows = np.bincount(encoded.indices.to_numpy(zero_copy_only=False), minlength=len(values))
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(values), pa.string()), values, pa.array(rows.astype(np.int64))], names=["key_field", "key_value", "rows"])
-
-    return run
-
-
 def _accumulate(keys: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # an Arrow batch is an equal split: its row count doesn't depend on the keys
@@ -130,11 +111,10 @@ def key_profile(chunks: DataFrame, keys: tuple[str, ...] = ("package_name", "fil
 def heavy_keys(chunks: DataFrame, keys: tuple[str, ...] = ("package_name", "file_id"), *, share: float = 0.03) -> DataFrame:
     """The key values that hold at least ``share`` of the distinct points, with their accumulated rows.
 
-    A null key takes part in the total but is no value. The total comes from the accumulators themselves (each field's
-    blocks sum to it), as one row.
+    A null key takes part in the total but is no value. Rows and total come from the accumulators of :func:`key_blocks` (each field's
+    blocks sum to the total), the total as one row.
     """
-    counted = counted_points(chunks, keys).mapInArrow(_count(keys), "key_field string, key_value string, rows long")
-    blocks = counted.groupBy("key_field", "key_value").agg(F.sum("rows").alias("rows"))
+    blocks = key_blocks(chunks, keys).where("label_id is null").select("key_field", "key_value", "rows")
     total = blocks.where(F.col("key_field") == keys[0]).agg(F.sum("rows").alias("total"))
     return (
         blocks.crossJoin(F.broadcast(total))  # the broadcast side is a single row by construction

@@ -45,6 +45,16 @@ def clean_entries(entries: DataFrame) -> DataFrame:
     greatest blob id wins, so that the result doesn't depend on the order of rows. A row without ``loaded_at`` counts as
     the earliest. The aggregation combines on the map side, so repeated rows never meet in one task.
     """
+    return (
+        valid_entries(entries)
+        .groupBy("catalog", "snapshot_no", "relative_path")
+        .agg(F.max(F.struct("loaded_at", "blob")).alias("last"))
+        .select("catalog", "snapshot_no", "relative_path", F.col("last.blob").alias("blob"))
+    )
+
+
+def valid_entries(entries: DataFrame) -> DataFrame:
+    """The rows that say something, in one spelling."""
     return (
         entries.select(
             "catalog",
@@ -54,9 +64,6 @@ def clean_entries(entries: DataFrame) -> DataFrame:
             F.coalesce(F.col("loaded_at").cast("timestamp"), F.timestamp_micros(F.lit(-(2**60)))).alias("loaded_at"),
         )
         .where("catalog is not null and snapshot_no is not null and relative_path is not null and blob is not null")
-        .groupBy("catalog", "snapshot_no", "relative_path")
-        .agg(F.max(F.struct("loaded_at", "blob")).alias("last"))
-        .select("catalog", "snapshot_no", "relative_path", F.col("last.blob").alias("blob"))
     )
 
 
@@ -123,7 +130,8 @@ def snapshot_changes(entries: DataFrame, *, ranges: int | None = None) -> DataFr
     """
     clean = clean_entries(entries)
     # One row per snapshot: a few per catalog. Spark broadcasts it if its measured size allows, and else joins by sorting.
-    merged = clean.join(snapshot_sequence(clean), ["catalog", "snapshot_no"])
+    # It comes from the rows before they are aggregated, so that only a few pairs are shuffled for it.
+    merged = clean.join(snapshot_sequence(valid_entries(entries)), ["catalog", "snapshot_no"])
     key = ["catalog", "relative_path"]
     by_range = merged.repartitionByRange(ranges, *key) if ranges else merged.repartitionByRange(*key)
     return by_range.sortWithinPartitions(*key, "snapshot_no").mapInArrow(_merge, CHANGES)
