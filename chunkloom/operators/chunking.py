@@ -165,18 +165,17 @@ def markdown_sections(files: DataFrame, text: str = "text", *, keep_preamble: bo
 
     started = started.withColumn("_headings", F.transform("_starts", says))
     started = started.withColumn("_slugs", unique_slugs(F.transform("_headings", T.slug)))
-    sections = started.select(*rest, "_lines", "whole", "_starts", "_headings", "_slugs", F.posexplode("_starts").alias("_at", "_from"))
-    end = F.coalesce(F.try_element_at("_starts", F.col("_at") + 2), F.size("_lines"))
-    out = sections.select(
-        *rest,
-        "whole",
-        (F.col("_from") + 1).alias("start_line"),
-        end.alias("end_line"),
-        F.slice("_lines", F.col("_from") + 1, F.greatest(end - F.col("_from"), F.lit(0))).alias("lines"),
-        F.get("_headings", F.col("_at")).alias("heading"),
-        F.get("_slugs", F.col("_at")).alias("slug"),
-    )
-    return out.where(F.exists("lines", lambda line: T.trim(line) != ""))
+
+    # every section takes its own lines before the rows are multiplied, so no row carries the whole document
+    def section(start: Column, at: Column) -> Column:
+        end = F.coalesce(F.get("_starts", at + 1), F.size("_lines"))
+        return F.struct(
+            (start + 1).alias("start_line"), end.alias("end_line"), F.slice("_lines", start + 1, F.greatest(end - start, F.lit(0))).alias("lines"),
+            F.get("_headings", at).alias("heading"), F.get("_slugs", at).alias("slug"),
+        )
+
+    sections = started.select(*rest, "whole", F.explode(F.transform("_starts", section)).alias("_s"))
+    return sections.select(*rest, "whole", *(F.col(f"_s.{c}").alias(c) for c in ("start_line", "end_line", "lines", "heading", "slug"))).where(F.exists("lines", lambda line: T.trim(line) != ""))
 
 
 def markdown_chunks(files: DataFrame, text: str = "text", *, limit: int = TARGET_BYTES, keep_preamble: bool = False) -> DataFrame:

@@ -11,13 +11,27 @@ from pyspark.sql import functions as F
 from chunkloom.functions.vectors import cosine_distance
 
 
-def vector_search(chunks: DataFrame, query: list[float], label_id: str | None = None, k: int = 10, *, id_column: str = "point_id", vector: str = "vector") -> DataFrame:
+def vector_search(chunks: DataFrame, query: list[float], label_id: str | None = None, k: int = 10, *, id_column: str = "point_id", vector: str = "vector", repeated: bool = False) -> DataFrame:
     """The ``k`` rows of smallest cosine distance to ``query`` among those that carry the label, with ``distance``.
 
     The label is applied before the ranking. Ties go by id. Rows whose vector can't be compared aren't found. Spark keeps
-    ``k`` rows a task and merges these, so nothing is sorted as a whole.
+    ``k`` rows a task and merges these, so nothing is sorted as a whole. With ``repeated``, rows may repeat an id with an older (shorter) label list: the last list counts, found
+    among the ids and lists alone, so vectors are never shuffled but for the few rows that rank first.
     """
     found = chunks if label_id is None else chunks.where(F.array_contains("active_label_ids", label_id))
+    if repeated:
+        # a row that has the label, but not in its id's last list, is out; equal rows are one
+        lists = chunks.groupBy(id_column).agg(F.max(F.struct(F.size("active_label_ids").alias("n"), "active_label_ids")).alias("l"))
+        stale = lists.where(~F.array_contains("l.active_label_ids", label_id)) if label_id is not None else None
+        if stale is not None:
+            found = found.join(stale.select(id_column), id_column, "left_anti")
+        columns = [c for c in found.columns if c != id_column]
+        near = found.withColumn("distance", cosine_distance(F.col(vector), query)).where("distance is not null")
+        # an id may come first as often as it is repeated, so ids are made one before the first k are taken: by their distances alone
+        first = near.groupBy(id_column).agg(F.min("distance").alias("distance")).orderBy("distance", id_column).limit(k)
+        order = F.struct(F.size("active_label_ids"), "active_label_ids")
+        whole = near.join(F.broadcast(first.select(id_column)), id_column).groupBy(id_column).agg(F.max_by(F.struct(*columns, "distance"), order).alias("r"))  # k rows
+        return whole.select(id_column, "r.*").orderBy("distance", id_column)
     return found.withColumn("distance", cosine_distance(F.col(vector), query)).where("distance is not null").orderBy("distance", id_column).limit(k)
 
 
@@ -57,3 +71,9 @@ def view(chunks: DataFrame, selections: list[Selection], label_id: str | None =
         rows = rows.where(F.array_contains("active_label_ids", label_id))
     on = (F.col("file_id") == F.col("_file")) & (F.col("chunk_ordinal") >= F.col("_first")) & (F.col("_last").isNull() | (F.col("chunk_ordinal") <= F.col("_last")))
     return wanted.join(rows, on, "left").drop("_file", "_first", "_last").orderBy("request", "chunk_ordinal")
+
+
+def view_catalogs(configured: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(catalog, labels)``: every configured catalog with its number of labels, 0 for one that was never crawled."""
+    counted = labels.groupBy("catalog").agg(F.countDistinct("label").alias("labels"))
+    return configured.select("catalog").where("catalog is not null").distinct().join(counted, "catalog", "left").fillna({"labels": 0})

@@ -6,6 +6,7 @@ manifests, numbers to format), it is derived from a table by the same rule in bo
 
 from __future__ import annotations
 
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from chunkloom.operators.rules import CrawlRules
 from chunkloom.operators.snapshots import clean_entries, git_path, snapshot_changes
 from chunkloom.operators.typescript import typescript_chunks
 from chunkloom.runtime import table
+from chunkloom.schema import STORED_CHUNKS
+from chunkloom.sources import git
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -289,15 +292,15 @@ def strategy(spark, folder):
 
 
 @query(
-    f"""WITH {PATHS} SELECT coalesce({_STRATEGY}, 'skip') AS strategy, count(*) AS files, count(*) FILTER ({_rule_sql('relative_path')}) AS crawled FROM paths GROUP BY 1"""
+    f"""SELECT {_STRATEGY} AS strategy, count(DISTINCT point_id) AS texts, count(DISTINCT point_id) FILTER (regexp_matches(text, '\\S')) AS cut FROM chunks WHERE {_STRATEGY} IS NOT NULL GROUP BY 1"""
 )
 def chunk_dispatch(spark, folder):
-    path = F.col("relative_path")
-    return (
-        paths(spark, folder)
-        .groupBy(F.coalesce(_RULES.strategy(path), F.lit("skip")).alias("strategy"))
-        .agg(F.count("*").alias("files"), F.count_if(_RULES.should_crawl(path)).alias("crawled"))
-    )
+    """Every text goes to the cutter of its strategy, and all but blank ones are cut."""
+    from chunkloom.plans.crawl import cut_files
+
+    texts = table(spark, folder, "chunks").select("point_id", "relative_path", F.coalesce("package_name", F.lit("")).alias("package"), "text").dropDuplicates(["point_id"])
+    cut = cut_files(texts, _RULES).groupBy(_RULES.strategy(F.col("relative_path")).alias("strategy")).agg(F.countDistinct("point_id").alias("cut"))
+    return texts.groupBy(_RULES.strategy(F.col("relative_path")).alias("strategy")).agg(F.count("*").alias("texts")).where("strategy is not null").join(cut, "strategy")
 
 
 def _manifests(spark, folder):
@@ -398,11 +401,11 @@ def ts_chunks(spark, folder):
     return cut.select("point_id", "start_line", "end_line", "chunk_type", "chunk_kind", "symbol_name", F.md5(F.col("chunk_text").cast("binary")).alias("digest"))
 
 
-@query()
+@query(f"WITH {PATHS} SELECT catalog, relative_path FROM paths WHERE ends_with(relative_path, '.ts') ORDER BY md5('7:' || catalog || ':' || relative_path), catalog, relative_path LIMIT 20")
 def sample_files(spark, folder):
     """A repeatable sample of 20 script files: the sampling operator of the audit."""
     scripts = paths(spark, folder).where(F.col("relative_path").endswith(".ts"))
-    return scripts.orderBy(F.xxhash64(F.lit(7), "catalog", "relative_path"), "catalog", "relative_path").limit(20)
+    return scripts.orderBy(F.md5(F.concat_ws(":", F.lit("7"), "catalog", "relative_path").cast("binary")), "catalog", "relative_path").limit(20)
 
 
 @query(
@@ -499,16 +502,16 @@ def view_range(spark, folder):
     return _viewed(spark, folder, 1, 3)
 
 
-@query(_VIEW + " AND chunk_ordinal >= 1")
+@query(_VIEW + " AND chunk_ordinal >= 2")
 def view_to_end(spark, folder):
-    return _viewed(spark, folder, 1)
+    return _viewed(spark, folder, 2)
 
 
-@query(f"WITH {POINTS} SELECT DISTINCT p.catalog, m.label FROM points p JOIN label_metadata m ON m.catalog = p.catalog WHERE p.file_id = {_FIRST_FILE}")
+@query("SELECT DISTINCT c.catalog, count(DISTINCT m.label) AS labels FROM (SELECT catalog FROM chunks UNION SELECT catalog FROM file_entries) c LEFT JOIN label_metadata m USING (catalog) GROUP BY 1")
 def view_catalogs(spark, folder):
-    chunks = table(spark, folder, "chunks")
-    shown = chunks.where(F.col("file_id") == _first_file(spark, folder)).select("catalog").distinct()
-    return table(spark, folder, "label_metadata").join(shown, "catalog").select("catalog", "label").distinct()
+    """The preamble of a view: every configured catalog (here those of chunks and snapshots), with its number of labels."""
+    configured = table(spark, folder, "chunks").select("catalog").unionByName(table(spark, folder, "file_entries").select("catalog"))
+    return search.view_catalogs(configured, table(spark, folder, "label_metadata"))
 
 
 @query(f"WITH {POINTS} SELECT point_id FROM points WHERE list_contains(active_label_ids, '{MAIN}')")
@@ -546,10 +549,10 @@ SELECT point_id, round(1 - list_dot_product(d, v) / sqrt(list_dot_product(d, d)
 FROM usable, q WHERE list_contains(active_label_ids, '{MAIN}') ORDER BY 1 - list_dot_product(d, v) / sqrt(list_dot_product(d, d) * list_dot_product(v, v)), point_id LIMIT 10"""
 )
 def vector_search(spark, folder):
-    chunks = points(spark, folder, "vector")
+    chunks = table(spark, folder, "chunks").select("point_id", "active_label_ids", "vector")
     whole = (F.size("vector") == 64) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0)
-    wanted = chunks.where(whole).orderBy("point_id").select("vector").head()[0]
-    return search.vector_search(chunks, wanted, MAIN, 10).select("point_id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
+    wanted = chunks.where(whole).agg(F.min_by("vector", "point_id")).head()[0]
+    return search.vector_search(chunks, wanted, MAIN, 10, repeated=True).select("point_id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
 
 
 # --- incremental work and membership
@@ -625,15 +628,34 @@ def label_cleanup(spark, folder):
     return membership.label_cleanup(points(spark, folder, "file_id"), touched, MAIN).select("point_id", F.array_join("active_label_ids", ",").alias("labels"))
 
 
-_UPSERT = f"""WITH {POINTS}, src AS (SELECT point_id, text, blob_id FROM incoming_chunks WHERE incoming_id IN (SELECT max(incoming_id) FROM incoming_chunks GROUP BY point_id))
-SELECT point_id, md5(text) AS digest, blob_id FROM points WHERE point_id NOT IN (SELECT point_id FROM src) UNION ALL SELECT point_id, md5(text), blob_id FROM src"""
+def _database(spark, folder):
+    """A database of the chunks as a crawl would have left it: contents, the files of each label, and the labels."""
+    from chunkloom.runtime import Scratch, mounted_path
+    from chunkloom.sources.warehouse import Warehouse
+
+    root = mounted_path(spark, Scratch(spark, "database").path)
+    os.makedirs(root)
+    store = Warehouse.create(spark, f"{root}/db", vector_dim=64)
+    rows = points(spark, folder, *(c for c in STORED_CHUNKS.names if c not in ("point_id", "vector"))).withColumn("vector", F.lit(None).cast("array<float>"))
+    store.upsert_files(rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in STORED_CHUNKS.fields)))
+    label = F.explode("active_label_ids").alias("id")
+    members = points(spark, folder, "file_id").select("file_id", label).select("file_id", I.label_id_catalog(F.col("id")).alias("catalog"), I.label_id_label(F.col("id")).alias("label"))
+    store.add_members(members)
+    return store
+
+
+_UPSERT = f"""WITH {POINTS}, src AS (SELECT point_id, file_id, text, blob_id FROM incoming_chunks WHERE incoming_id IN (SELECT max(incoming_id) FROM incoming_chunks GROUP BY point_id))
+SELECT point_id, md5(text) AS digest, blob_id FROM points WHERE file_id NOT IN (SELECT file_id FROM src) UNION ALL SELECT point_id, md5(text), blob_id FROM src"""
 
 
 @query(_UPSERT)
 def upsert_chunks(spark, folder):
-    last = table(spark, folder, "incoming_chunks").groupBy("point_id").agg(F.max_by(F.struct("text", "blob_id"), "incoming_id").alias("r")).select("point_id", "r.*")
-    merged = membership.upsert(points(spark, folder, "text", "blob_id").drop("active_label_ids"), last)
-    return merged.select("point_id", F.md5(F.col("text").cast("binary")).alias("digest"), "blob_id")
+    """The files of the incoming chunks take the place of those that the database has."""
+    store = _database(spark, folder)
+    rest = [c for c in STORED_CHUNKS.names if c not in ("point_id", "vector")]
+    last = table(spark, folder, "incoming_chunks").groupBy("point_id").agg(F.max_by(F.struct(*rest), "incoming_id").alias("r")).select("point_id", "r.*").withColumn("vector", F.lit(None).cast("array<float>"))
+    store.upsert_files(last.select(*(F.coalesce(F.col(f.name), F.lit("")).alias(f.name) if f.dataType.typeName() == "string" and not f.nullable else F.col(f.name) for f in STORED_CHUNKS.fields)))
+    return store.stored_chunks().select("point_id", F.md5(F.col("text").cast("binary")).alias("digest"), "blob_id")
 
 
 @query(f"WITH {POINTS} SELECT point_id FROM points WHERE point_id NOT IN (SELECT point_id FROM incoming_chunks)")
@@ -641,16 +663,25 @@ def delete_by_ids(spark, folder):
     return membership.delete_by_ids(points(spark, folder).select("point_id"), table(spark, folder, "incoming_chunks"))
 
 
-@query("""SELECT count(*) AS before_rows, count(*) FILTER (catalog <> 'sabledocs') AS after_rows, count(*) FILTER (catalog = 'sabledocs') AS deleted FROM chunks""")
+@query(
+    f"""WITH {POINTS} SELECT 'sabledocs' AS purged, count(*) AS before_rows, count(*) FILTER (catalog <> 'sabledocs') AS after_rows, count(*) FILTER (catalog = 'sabledocs') AS deleted,
+  (SELECT count(DISTINCT file_id || l) FROM (SELECT file_id, unnest(active_label_ids) AS l FROM points) WHERE NOT starts_with(l, 'sabledocs:')) AS members FROM points"""
+)
 def purge_catalog(spark, folder):
-    gone = F.col("catalog") == "sabledocs"
-    return table(spark, folder, "chunks").agg(F.count("*").alias("before_rows"), F.count_if(~gone).alias("after_rows"), F.count_if(gone).alias("deleted"))
+    store = _database(spark, folder)
+    before = store.stored_chunks().count()
+    deleted, _ = store.purge("sabledocs")
+    counted = store.stored_chunks().agg(F.count("*").alias("after_rows"))
+    members = store.membership().agg(F.count("*").alias("members"))
+    return counted.crossJoin(F.broadcast(members)).select(F.lit("sabledocs").alias("purged"), F.lit(before).alias("before_rows"), "after_rows", F.lit(deleted).alias("deleted"), "members")  # single rows
 
 
-@query("SELECT count(*) AS before_rows, CAST(0 AS BIGINT) AS after_rows FROM chunks")
+@query(f"WITH {POINTS} SELECT count(*) AS before_rows, CAST(0 AS BIGINT) AS after_rows FROM points")
 def purge_all(spark, folder):
-    chunks = table(spark, folder, "chunks")
-    return chunks.agg(F.count("*").alias("before_rows")).crossJoin(F.broadcast(chunks.limit(0).agg(F.count("*").alias("after_rows"))))
+    store = _database(spark, folder)
+    before = store.stored_chunks().count()
+    store.purge_all()
+    return store.stored_chunks().agg(F.count("*").alias("after_rows")).select(F.lit(before).alias("before_rows"), "after_rows")
 
 
 _FINAL = "SELECT DISTINCT ON (label_id) * FROM label_metadata ORDER BY label_id, updated_at_unix_secs DESC, crawl_complete DESC"
@@ -718,12 +749,6 @@ def status_line(change, path):
     return F.concat(F.when(change == "changed", " M ").when(change == "removed", " D ").otherwise("?? "), path)
 
 
-def dirty_status(line):
-    """``exists`` or ``deleted`` of a porcelain status line; null for one that leaves the working tree as it is."""
-    state = F.substring(line, 1, 2)
-    return F.when((state == "??") | state.endswith("M"), "exists").when(state.endswith("D"), "deleted")
-
-
 @query(
     _TRACKED
     + """SELECT coalesce(o.catalog, n.catalog) AS catalog, coalesce(o.path, n.path) AS relative_path, CASE WHEN n.path IS NULL THEN 'deleted' ELSE 'exists' END AS state
@@ -732,22 +757,18 @@ def dirty_status(line):
 def dirty_classify(spark, folder):
     _, _, changes = _tracked(spark, folder)
     listed = changes.select("catalog", "relative_path", status_line(F.col("change"), F.col("relative_path")).alias("line"))
-    return listed.select("catalog", F.substring("line", 4, 1 << 30).alias("relative_path"), dirty_status(F.col("line")).alias("state"))
-
-
-def working_tree(tracked: DataFrame, dirty: DataFrame, hashed: DataFrame) -> DataFrame:
-    """Blob ids of a working tree: the tracked ones, without deleted files, with new hashes of dirty ones."""
-    keys = ["catalog", "relative_path"]
-    kept = tracked.join(dirty.where("state = 'deleted'").select(*keys), keys, "left_anti")
-    fresh = hashed.join(dirty.where("state = 'exists'").select(*keys), keys, "left_semi").select(*keys, F.col("blob").alias("fresh"))
-    return kept.join(fresh, keys, "full").select(*keys, F.coalesce("fresh", "blob").alias("blob"))
+    return listed.select("catalog", git.status_path(F.col("line")).alias("relative_path"), git.status_state(F.col("line")).alias("state"))
 
 
 @query(_TRACKED + "SELECT catalog, path AS relative_path, blob FROM now")
 def wt_blob_map(spark, folder):
+    """Tracked files, the status list, and fresh ids of the files that the list says exist: the working tree must come out, which none of the three is."""
     tracked, now, changes = _tracked(spark, folder)
-    dirty = changes.select("catalog", "relative_path", dirty_status(status_line(F.col("change"), F.col("relative_path"))).alias("state"))
-    return working_tree(tracked, dirty, now)
+    line = status_line(F.col("change"), F.col("relative_path"))
+    dirty = changes.select("catalog", git.status_path(line).alias("relative_path"), git.status_state(line).alias("state"))
+    keys = ("catalog", "relative_path")
+    hashed = now.join(dirty.where("state = 'exists'").select(*keys), [*keys], "left_semi").withColumnRenamed("blob", "blob_id")
+    return git.working_tree(tracked.withColumnRenamed("blob", "blob_id"), dirty, hashed, keys).withColumnRenamed("blob_id", "blob")
 
 
 # --- sizing and embedding
@@ -767,10 +788,13 @@ def auto_sizing(spark, folder):
     return machines.select("s_suppkey", size["instances"].alias("instances"), size["threads"].alias("threads"), size["estimated"].alias("estimated"))
 
 
-@query("SELECT doc_id, text IS NOT NULL AS decodable FROM documents")
+@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0")
 def utf8_gate(spark, folder):
-    content = F.col("text").cast("binary")
-    return table(spark, folder, "documents").select("doc_id", F.coalesce(F.is_valid_utf8(content.cast("string")), F.lit(False)).alias("decodable"))
+    """Contents as bytes, every third one broken inside a sign: the broken ones must not pass."""
+    whole = F.col("text").cast("binary")
+    content = F.when(F.col("doc_id") % 3 == 0, F.concat(whole, F.unhex(F.lit("E282")))).otherwise(whole)
+    read = git.decoded(table(spark, folder, "documents").select("doc_id", content.alias("content")))
+    return read.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("SELECT count(*) AS chunks, count(*) FILTER (regexp_matches(text, '\\w')) AS embedded, count(*) FILTER (NOT regexp_matches(text, '\\w')) AS failed FROM (SELECT DISTINCT point_id, text FROM chunks)")

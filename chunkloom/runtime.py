@@ -98,12 +98,20 @@ class SharedFiles:
         self.fs.delete(self._at(name), True)
 
 
+def mounted_path(spark: SparkSession, path: str) -> str:
+    """The path by which the operating system knows a folder; an error if it isn't on a mounted file system."""
+    files = SharedFiles(spark, path)
+    if files.fs.getScheme() != "file":
+        raise RuntimeError(f"{path} isn't on a mounted file system")
+    return files._at("").toUri().getPath()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     """Removes a folder of any file system, as far as the session, or else the mounted folder, still allows it."""
     try:
         SharedFiles(spark, path).delete("")
     except Exception:  # the session has ended
-        if path.startswith("file:"):
+        if path.startswith(("file:", "/")):
             shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
 

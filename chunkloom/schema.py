@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 VECTOR_DIM = 768
 
 _STRINGS = ("embedder_id", "chunker_id", "blob_id", "content_hash", "file_id", "relative_path", "package_name", "source_uri")

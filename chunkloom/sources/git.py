@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
 import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.operators.packages import package_index
@@ -66,7 +67,7 @@ def tracked_files(spark: SparkSession, repo: str) -> DataFrame:
     for line in _parts(_git(repo, "ls-files", "-s", "-z")):
         info, path = line.split("\t", 1)
         mode, blob, _ = info.split(" ")
-        if mode != "160000":
+        if mode not in ("160000", "120000"):  # links to other repositories, and symbolic links, aren't files of a working tree
             rows.setdefault(path, blob)
     return spark.createDataFrame(list(rows.items()), FILES)
 
@@ -75,9 +76,25 @@ def dirty_paths(spark: SparkSession, repo: str) -> DataFrame:
     """``(relative_path, state)`` of files whose content in the working tree differs from the index; state ``exists`` or ``deleted``."""
     listed = _parts(_git(repo, "--no-optional-locks", "status", "-z", "-u", "--no-renames", "--ignore-submodules", "--no-ahead-behind"))
     lines = spark.createDataFrame([(line,) for line in listed if len(line) > 3], "line string")
-    state = F.substring("line", 1, 2)
-    status = F.when((state == "??") | state.endswith("M"), "exists").when(state.endswith("D"), "deleted")
-    return lines.select(F.substring("line", 4, 1 << 30).alias("relative_path"), status.alias("state")).where("state is not null")
+    return lines.select(status_path(F.col("line")).alias("relative_path"), status_state(F.col("line")).alias("state")).where("state is not null")
+
+
+def status_path(line: Column) -> Column:
+    """The path of a porcelain status line."""
+    return F.substring(line, 4, 1 << 30)
+
+
+def status_state(line: Column) -> Column:
+    """``exists`` or ``deleted``, by a porcelain status line; null for one that leaves the working tree as it is."""
+    state = F.substring(line, 1, 2)
+    return F.when((state == "??") | state.endswith("M"), "exists").when(state.endswith("D"), "deleted")
+
+
+def working_tree(tracked: DataFrame, dirty: DataFrame, hashed: DataFrame, keys: tuple[str, ...] = ("relative_path",)) -> DataFrame:
+    """``(keys, blob_id)`` of a working tree: the ``tracked`` ones without deleted files, and the ``hashed`` ones of dirty files that exist."""
+    kept = tracked.join(dirty.where("state = 'deleted'").select(*keys), [*keys], "left_anti").select(*keys, "blob_id")
+    fresh = hashed.join(dirty.where("state = 'exists'").select(*keys), [*keys], "left_semi").select(*keys, F.col("blob_id").alias("fresh"))
+    return kept.join(fresh, [*keys], "full").select(*keys, F.coalesce("fresh", "blob_id").alias("blob_id"))
 
 
 def hash_files(repo: str, paths: list[str]) -> list[str]:
@@ -97,10 +114,9 @@ def working_files(spark: SparkSession, repo: str) -> DataFrame:
     """
     dirty = dirty_paths(spark, repo)
     present = [r.relative_path for r in dirty.where("state = 'exists'").collect()]  # what one person changed by hand
-    fresh = spark.createDataFrame(list(zip(present, hash_files(repo, present))), "relative_path string, fresh string")
-    kept = tracked_files(spark, repo).join(dirty.where("state = 'deleted'"), "relative_path", "left_anti")
-    merged = kept.join(fresh, "relative_path", "full").select("relative_path", F.coalesce("fresh", "blob_id").alias("blob_id"))
-    return merged.where(~F.col("relative_path").rlike(r"(?:^|/)\."))
+    present = [p for p in present if not os.path.islink(f"{repo}/{p}")]
+    hashed = spark.createDataFrame(list(zip(present, hash_files(repo, present))), FILES)
+    return working_tree(tracked_files(spark, repo), dirty, hashed).where(~F.col("relative_path").rlike(r"(?:^|/)\."))
 
 
 def with_contents(files: DataFrame, repo: str, *, working_tree: bool = False) -> DataFrame:
@@ -125,7 +141,7 @@ def with_contents(files: DataFrame, repo: str, *, working_tree: bool = False) ->
 
 def _read(path: str) -> bytes | None:
     try:
-        with open(path, "rb") as file:
+        with open(os.open(path, os.O_RDONLY | os.O_NOFOLLOW), "rb") as file:
             return file.read()
     except OSError:
         return None

@@ -2,6 +2,7 @@
 
 import json
 import subprocess
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from chunkloom.operators.embedding import hashing_embedder
 from chunkloom.plans.crawl import crawl
 from chunkloom.sources import config, git
 from chunkloom.sources.warehouse import DatabaseError, Warehouse
-from chunkloom.streaming.ingest import ARRIVALS, stream_files
+from chunkloom.streaming.ingest import ARRIVALS, ingest_files, stream_files
 
 EMBED = hashing_embedder(16)
 
@@ -188,3 +189,103 @@ def test_command_line(spark, tmp_path, repo, monkeypatch, capsys):
     run("purge", code=1)
     assert "4 chunks" in run("purge", "--catalog", "cat")
     assert "everything" in run("purge", "--all")
+
+
+def half_blind(text):
+    """An embedder that fails on chunks that say so."""
+    done = EMBED(text)
+    return F.when(text.contains("unreadable"), F.struct(F.lit(None).cast("array<float>").alias("vector"), F.lit("failed").alias("error"))).otherwise(F.struct(done["vector"].alias("vector"), done["error"].alias("error")))
+
+
+def test_a_stream_that_fails_in_part_loses_nothing(spark, tmp_path, repo):
+    store = Warehouse.create(spark, tmp_path / "db", vector_dim=16)
+    inbox, failures = str(tmp_path / "inbox"), []
+    how = {"catalog": "cat", "embedder_id": "e:v1", "checkpoint": str(tmp_path / "progress")}
+    text = "# A\nwords\n# B\nunreadable\n# C\nwords\n# D\nunreadable\n"
+    spark.createDataFrame([("f.md", "b1", None, text), ("g.md", "b2", None, "# G\nwords\n")], ARRIVALS).write.parquet(inbox)
+    stream_files(spark, inbox, store, embedder=half_blind, failures=failures, **how).awaitTermination()
+    rows = table(store)
+    assert failures == [(0, 2)] and {k: (r.file_complete, r.active_label_ids) for k, r in rows.items()} == {
+        ("f.md", 1): (False, ["cat:arrivals"]), ("f.md", 3): (False, ["cat:arrivals"]), ("g.md", 1): (True, ["cat:arrivals"]),
+    }
+    assert not store.labels().where("label_id = 'cat:arrivals'").head().crawl_complete
+    # a clean crawl of another label leaves them alone
+    assert crawl(store, str(repo), "cat", "main", EMBED, "e:v1", revision="HEAD").removed_chunks == 0
+    assert {k[0] for k in table(store)} >= {"f.md", "g.md"}
+    # the same file, delivered again to an embedder that can, is complete
+    spark.createDataFrame([("f.md", "b1", None, text)], ARRIVALS).write.mode("append").parquet(inbox)
+    stream_files(spark, inbox, store, embedder=EMBED, **how).awaitTermination()
+    assert table(store)[("f.md", 1)].file_complete and len([k for k in table(store) if k[0] == "f.md"]) == 4
+    assert store.labels().where("label_id = 'cat:arrivals'").head().crawl_complete
+
+
+def test_an_interrupted_crawl_goes_on(spark, tmp_path, repo, monkeypatch):
+    for i in range(6):
+        (repo / f"more{i}.md").write_text(f"# Part {i}\nwords\n")
+    sh(repo, "add", "-A")
+    sh(repo, "commit", "-qm", "more")
+    store = Warehouse.create(spark, tmp_path / "db", vector_dim=16)
+    told, real = [], Warehouse.upsert_files
+
+    def breaks(self, chunks):
+        if told:
+            raise RuntimeError("executor lost")
+        real(self, chunks)
+
+    monkeypatch.setattr(Warehouse, "upsert_files", breaks)
+    with pytest.raises(RuntimeError):
+        crawl(store, str(repo), "cat", "main", EMBED, "e:v1", revision="HEAD", part_files=4, progress=told.append)
+    assert len(told) == 1 and "of 10 new files" in told[0]
+    monkeypatch.undo()
+    written = store.stored_chunks().select("file_id").distinct().count()
+    assert 0 < written < 9 and store.membership().count() == 0 and not store.labels().head().crawl_complete
+    again = crawl(store, str(repo), "cat", "main", EMBED, "e:v1", revision="HEAD")
+    assert again.existing_files == written and again.complete and again.removed_chunks == 0
+    assert store.membership().count() == 9
+
+
+def test_two_writers_take_turns(spark, tmp_path):
+    store = Warehouse.create(spark, tmp_path / "db", vector_dim=16)
+    how = {"embedder": EMBED, "embedder_id": "e:v1"}
+    batches = [spark.createDataFrame([(f"f{n}-{i}.md", f"b{n}-{i}", None, "# A\nwords\n") for i in range(5)], ARRIVALS) for n in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        assert [f.result() for f in [pool.submit(ingest_files, Warehouse(spark, store.path), b, "cat", **how) for b in batches]] == [0] * 4
+    assert store.stored_chunks().count() == 20 and store.membership().count() == 20
+    before = {p.name for p in (store.path / "chunks").iterdir()}
+    ingest_files(store, batches[0], "cat", **how)
+    assert store.stored_chunks().count() == 20 and {p.name for p in (store.path / "chunks").iterdir()} - before
+
+
+def test_a_change_that_fails_is_not_seen(spark, tmp_path, monkeypatch):
+    from chunkloom.sources import warehouse
+
+    store = Warehouse.create(spark, tmp_path / "db", vector_dim=16)
+    one, two = (spark.createDataFrame([("f.md", "b", None, text)], ARRIVALS) for text in ("# A\nwords\n", "# A\nwords\n# B\nmore\n"))
+    ingest_files(store, one, "cat", EMBED, "e:v1")
+    monkeypatch.setattr(warehouse, "_write_durably", lambda path, text: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ingest_files(store, two, "cat", EMBED, "e:v1")
+    monkeypatch.undo()
+    assert store.stored_chunks().count() == 1
+    ingest_files(store, two, "cat", EMBED, "e:v1")
+    assert store.stored_chunks().count() == 2
+
+
+def test_rows_are_validated_on_write(spark, tmp_path):
+    store = Warehouse.create(spark, tmp_path / "db", vector_dim=16)
+    ingest_files(store, spark.createDataFrame([("f.md", "b", None, "# A\nwords\n")], ARRIVALS), "cat", EMBED, "e:v1")
+    good = store.stored_chunks()
+    for wrong, said in ((good.withColumn("vector", F.array(F.lit(1.0).cast("float"))), "16"), (good.withColumn("chunk_ordinal", F.lit(7)), "ordinal"), (good.withColumn("point_id", F.lit("x")), "point_id"), (good.withColumn("catalog", F.lit("Cat")), "catalog")):
+        with pytest.raises(ValueError, match=said):
+            store.upsert_files(wrong)
+    assert store.stored_chunks().count() == 1
+
+
+def test_links_are_not_followed(spark, repo):
+    (repo / "link.md").symlink_to(repo / "README.md")
+    (repo / "fresh.md").symlink_to("/etc/hostname")
+    sh(repo, "add", "link.md")
+    listed = {r.relative_path for r in git.working_files(spark, str(repo)).collect()}
+    assert "README.md" in listed and not listed & {"link.md", "fresh.md"}
+    read = git.with_contents(spark.createDataFrame([("link.md", "x"), ("README.md", "y")], git.FILES), str(repo), working_tree=True)
+    assert {r.relative_path: r.content is None for r in read.collect()} == {"link.md": True, "README.md": False}
