@@ -2,7 +2,7 @@
 
 Re-Pair replaces the most frequent pair of neighbouring symbols by a new symbol, a rule, until no pair repeats. Here all
 texts of a batch are rewritten together in numpy, and a round replaces, in every text, each pair that is more frequent than
-the pairs it overlaps, instead of a single pair; a long repetition is thus found in a few rounds.
+the pairs it overlaps, instead of a single pair; a long repetition is thus found in a few rounds. Rounds end when no pair occurs twice in any text any more.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ class Grammar:
     ``covered`` the tokens under rules.
     """
 
-    def __init__(self, texts: list[list[str]], least: int = 3, rounds: int = 14):
+    def __init__(self, texts: list[list[str]]):
         count = len(texts)
         lengths = np.array([len(t) for t in texts], np.int64)
         self.length, self.size, self.covered = lengths, lengths.copy(), np.zeros(count, np.int64)
@@ -40,16 +40,14 @@ class Grammar:
         width = np.ones(len(owner), np.int64)
         symbol = _token_hashes(texts)  # a symbol is known by the hash of what it stands for
         rules = np.zeros(count, np.int64)
-        for _ in range(rounds):
-            if len(symbol) < 2:
-                break
+        while len(symbol) >= 2:
             left, right = symbol[:-1], symbol[1:]
             inside = owner[:-1] == owner[1:]
             pair = left * np.uint64(0x9E3779B97F4A7C15) ^ (right + (left << np.uint64(13)) + np.uint64(0x1B873593))
             pair *= np.uint64(0xD6E8FEB86659FD93)
             pair ^= pair >> np.uint64(32)
             key = pair + owner[:-1].astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             ordered = key[order]
             starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
             sizes = np.diff(np.concatenate((starts, [len(ordered)])))
@@ -59,7 +57,7 @@ class Grammar:
             # better than both neighbours; among equals the leftmost of each run of them, and every second one after it
             before = np.concatenate(([0], times[:-1]))
             after = np.concatenate((times[1:], [0]))
-            good = times >= least
+            good = times >= 2
             higher = good & (times > before) & (times >= after)
             equal = good & (times == before) & (times >= after)
             # in a run of equals (x x x x ...) the pairs at even distance from its start

@@ -5,6 +5,9 @@ table of data; literals that hardly compress make a blob; long runs of tokens th
 are vendored code: they are rules of the token sequences of all repositories together, each used in more than one. What a file says of itself at its very start, where it lies, and names of a single letter on long lines
 complete the picture.
 
+Which evidence decides what: grammars alone find every generated file of the test tables, whatever its notice says, and all data by literals or grammars. The method says nothing of
+minified files, which layout and names tell. Vendored files have no copy in another repository there, so their folder or notice tells them.
+
 Grammars are inferred by chunk, and their sizes are added up by file, so no file is ever assembled in one place however
 many chunks it has.
 """
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.llm.grammars import Grammar, literal_share, long_runs, tokens
@@ -43,7 +46,7 @@ _COPIED = re.compile(
 _NAME = re.compile(r"(?<![\w$])[A-Za-z_$][\w$]*")
 
 _MEASURED = (
-    "file_id string, repository string, tokens long, body long, symbols long, covered long, literal long, solid long, chars long, lines long, names long, single long, "
+    "point_id string, file_id string, repository string, tokens long, body long, symbols long, covered long, literal long, solid long, chars long, lines long, names long, single long, "
     "made boolean, copied boolean, rules array<struct<rule:long,width:long>>"
 )
 
@@ -53,14 +56,14 @@ def notice(text: str) -> tuple[bool, bool]:
     opening = _COMMENTS.match(text)
     if not opening:
         return False, False
-    said = opening[0][:4000]
+    said = opening[0]
     return bool(_MADE.search(said)) and not _NEIGHBOUR.search(said), bool(_COPIED.search(said))
 
 
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for whole in batches:
-        for at in range(0, len(whole), 1000):
-            batch = whole.iloc[at : at + 1000]
+        for at in range(0, len(whole), 250):
+            batch = whole.iloc[at : at + 250]
             texts, prose = batch["text"].tolist(), batch["prose"].tolist()
             sequences = [[] if p else tokens(t) for t, p in zip(texts, prose)]
             grammar = Grammar(sequences)
@@ -84,7 +87,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 copied.append(c)
             yield pd.DataFrame(
                 {
-                    "file_id": batch["file_id"], "repository": batch["repository"], "tokens": grammar.length, "body": [len(b) for b in bodies], "symbols": grammar.size, "covered": grammar.covered,
+                    "point_id": batch["point_id"], "file_id": batch["file_id"], "repository": batch["repository"], "tokens": grammar.length, "body": [len(b) for b in bodies], "symbols": grammar.size, "covered": grammar.covered,
                     "literal": literal, "solid": solid, "chars": [0 if p else len(t) for t, p in zip(texts, prose)], "lines": lines, "names": names, "single": single,
                     "made": made, "copied": copied, "rules": rules,
                 }
@@ -97,12 +100,13 @@ _SUMS = ("tokens", "body", "symbols", "covered", "literal", "solid", "chars", "l
 def chunk_evidence(chunks: DataFrame) -> DataFrame:
     """Per chunk: sizes of text and grammar, and what its opening comments say if it is the first of its file.
 
-    Null texts count as empty, chunks without a ``file_id`` are left out. Repeats of a chunk are measured repeatedly,
-    which hardly changes a file's shares.
+    Null texts count as empty, chunks without a ``file_id`` are left out. Repeats of a chunk are measured repeatedly; :func:`classify_files` counts each ``point_id`` once.
     """
     name = F.lower(F.coalesce("relative_path", F.lit("")))
     suffix = F.regexp_extract(name, r"\.([a-z0-9]+)$", 1)
+    point = F.col("point_id").cast("string") if "point_id" in chunks.columns else F.lit(None).cast("string")
     rows = chunks.where("file_id is not null").select(
+        point.alias("point_id"),
         "file_id",
         F.col("catalog").alias("repository"),
         F.coalesce("text", F.lit("")).alias("text"),
@@ -138,7 +142,11 @@ def classify_files(chunks: DataFrame, *, reuse: float = 0.46, coverage: float =
     ``written``; an empty table gives an empty result.
     """
     # measured once: without the texts a chunk's evidence is a few numbers
-    measured = Scratch(chunks.sparkSession, "handwritten").write(chunk_evidence(chunks), "measured")
+    measured = Scratch(chunks.sparkSession, "handwritten").write(chunk_evidence(chunks).withColumn("row", F.monotonically_increasing_id()), "measured")
+    # only ids are shuffled to find the repeats, which are few; chunks without an id are no repeats
+    first = F.row_number().over(Window.partitionBy("point_id").orderBy("row"))
+    repeats = measured.where("point_id is not null").select("row", first.alias("at")).where("at > 1").select("row")
+    measured = measured.join(repeats, "row", "left_anti")
     rules = measured.select("file_id", "repository", F.explode("rules").alias("r")).select("file_id", "repository", "r.rule", "r.width")
     shared = rules.groupBy("rule").agg(F.min("repository").alias("a"), F.max("repository").alias("b")).where("a <> b").select("rule")
     by_file = rules.join(shared, "rule").groupBy("file_id").agg(F.sum("width").alias("shared"))

@@ -118,3 +118,21 @@ def test_a_file_copied_into_two_repositories(spark):
     df = spark.createDataFrame(rows, "file_id string, catalog string, relative_path string, chunk_ordinal int, text string")
     got = {r.file_id: r.kind for r in classify_files(df).collect()}
     assert got == {"a": "vendored", "b": "vendored"} | dict.fromkeys("cdefg", "written")
+
+
+def test_rules_go_on_to_the_end():
+    # 2 ** 16 equal halves: a rule may be as wide as it takes, and pairs that occur twice are rules too
+    g = Grammar([["a", "b"] * 2**15, ["x", "y", "z", "x", "y", "q"]])
+    assert g.size[0] < 60 and g.covered[0] == 2**16
+    assert g.covered[1] == 4
+
+
+def test_notices_after_a_long_licence_and_repeated_points(spark):
+    licence = "\n".join(f" * {pick()} {pick()} grants {pick()} without {pick()}, part {i}" for i in range(200))
+    text = f"/*\n{licence}\n * Code generated by a tool. DO NOT EDIT.\n */\n{HAND}"
+    assert notice(text) == (True, False)
+    rows = [("p1", "f", "r", "src/f.ts", 1, HAND)] + [("p2", "f", "r", "src/f.ts", 2, GENERATED[:1500])] * 40 + [("p3", "g", "r", "src/g.ts", 1, text)]
+    df = spark.createDataFrame(rows, "point_id string, file_id string, catalog string, relative_path string, chunk_ordinal int, text string")
+    got = {r.file_id: r for r in classify_files(df).collect()}
+    assert {k: r.kind for k, r in got.items()} == {"f": "written", "g": "generated"}
+    assert got["f"].tokens == len(tokens(HAND)) + len(tokens(GENERATED[:1500]))
