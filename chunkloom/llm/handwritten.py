@@ -131,7 +131,7 @@ def _shares(evidence: DataFrame) -> DataFrame:
     )
 
 
-def classify_files(chunks: DataFrame, *, reuse: float = 0.46, coverage: float = 0.78, literal: float = 0.5, least_tokens: int = 40) -> DataFrame:
+def classify_files(chunks: DataFrame, *, reuse: float = 0.46, coverage: float = 0.78, literal: float = 0.5, least_tokens: int = 40, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``(file_id, kind, ...)``: one row per file, ``kind`` ``generated``, ``minified``, ``vendored``, ``data`` or ``written``.
 
     A file is generated if its opening comments say so or its grammar is small (at most ``reuse`` symbols per token,
@@ -139,14 +139,15 @@ def classify_files(chunks: DataFrame, *, reuse: float = 0.46, coverage: float =
     if its lines are long, hardly broken by blanks, and its names mostly single letters; vendored if it lies in a folder
     of others' code, says at its start whose copy it is, or consists mostly, apart from its opening comments, of runs of
     tokens that files of another repository have too. The first of data, minified, generated and vendored that holds is reported. Empty files are
-    ``written``; an empty table gives an empty result.
+    ``written``; an empty table gives an empty result. Numbers of repeated rows are broadcast up to ``broadcast_rows``, joined by shuffling beyond.
     """
     # measured once: without the texts a chunk's evidence is a few numbers
-    measured = Scratch(chunks.sparkSession, "handwritten").write(chunk_evidence(chunks).withColumn("row", F.monotonically_increasing_id()), "measured")
+    scratch = Scratch(chunks.sparkSession, "handwritten")
+    measured = scratch.write(chunk_evidence(chunks).withColumn("row", F.monotonically_increasing_id()), "measured")
     # only ids are shuffled to find the repeats, which are few; chunks without an id are no repeats
     first = F.row_number().over(Window.partitionBy("point_id").orderBy("row"))
-    repeats = measured.where("point_id is not null").select("row", first.alias("at")).where("at > 1").select("row")
-    measured = measured.join(repeats, "row", "left_anti")
+    repeats = scratch.write(measured.where("point_id is not null").select("row", first.alias("at")).where("at > 1").select("row"), "repeats")
+    measured = measured.join(F.broadcast(repeats) if repeats.count() <= broadcast_rows else repeats, "row", "left_anti")
     rules = measured.select("file_id", "repository", F.explode("rules").alias("r")).select("file_id", "repository", "r.rule", "r.width")
     shared = rules.groupBy("rule").agg(F.min("repository").alias("a"), F.max("repository").alias("b")).where("a <> b").select("rule")
     by_file = rules.join(shared, "rule").groupBy("file_id").agg(F.sum("width").alias("shared"))
