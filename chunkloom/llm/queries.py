@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +57,25 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(_points(spark, folder), "point_id", limit=6000)
 
 
+def p5_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Every cut text put together again from its pieces: whether these are numbered, fit the limit and overlap as they should, and the digest of the whole."""
+
+    def rebuild(rows: pd.DataFrame) -> pd.DataFrame:
+        pieces = rows.sort_values("split_part_ordinal")
+        text, fits = "", pieces["split_part_ordinal"].tolist() == list(range(1, len(pieces) + 1)) and set(pieces["split_part_count"]) == {len(pieces)}
+        whole = rows["whole"].iloc[0]
+        for piece in pieces["text"]:
+            fits &= len(piece.encode()) <= 6000
+            # of repetitive texts several overlaps are possible: that which the text goes on with
+            shared = [n for n in range(50, 401) if text.endswith(piece[:n]) and 200 <= len(piece[:n].encode()) <= 400 and whole.startswith(text + piece[n:])] if text else [0]
+            fits &= bool(shared)
+            text += piece[shared[0] if shared else 0 :]
+        return pd.DataFrame({"point_id": rows["point_id"].iloc[:1], "fits": [bool(fits)], "digest": [hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()]})
+
+    whole = _points(spark, folder).select("point_id", F.col("text").alias("whole"))
+    return p5_pieces(spark, folder).join(whole, "point_id").groupBy("point_id").applyInPandas(rebuild, "point_id string, fits boolean, digest string")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_leaks(spark, folder).select("doc_id", "item_id")
 
@@ -102,6 +124,14 @@ def oracle_sql() -> dict[str, str]:
             WITH s AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS size FROM documents WHERE source IS NOT NULL GROUP BY 1)
             SELECT t.source FROM mix_targets t LEFT JOIN s USING (source)
             WHERE coalesce(s.size, 0) * t.max_repeats < t.target_share * (SELECT sum(size) FROM s)""",
+        # by comparing every vector with every other one
+        "p3_found": """
+            WITH u AS (SELECT DISTINCT ON (point_id) point_id, vector::DOUBLE[] AS v FROM chunks WHERE len(vector) = 64
+              AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+            n AS (SELECT point_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))::DOUBLE[64] AS v FROM u),
+            d AS (SELECT a.point_id AS a, b.point_id AS b, row_number() OVER (PARTITION BY a.point_id ORDER BY array_inner_product(a.v, b.v) DESC, b.point_id) AS r FROM n a JOIN n b ON a.point_id <> b.point_id)
+            SELECT DISTINCT least(a, b) AS point_a, greatest(a, b) AS point_b FROM d WHERE r <= 5""",
+        "p5_rebuilt": "SELECT DISTINCT point_id, true AS fits, md5(text) AS digest FROM chunks WHERE strlen(text) > 6000",
         # the order of characters is that of tokens; a share is the target's, or the capacity's, of all that is drawn
         "p9_shares": """
             WITH s AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS size FROM documents WHERE source IS NOT NULL GROUP BY 1)
