@@ -401,6 +401,16 @@ def ts_chunks(spark, folder):
     return cut.select("point_id", "start_line", "end_line", "chunk_type", "chunk_kind", "symbol_name", F.md5(F.col("chunk_text").cast("binary")).alias("digest"))
 
 
+@query("SELECT DISTINCT point_id, md5(regexp_replace(text, '\\s', '', 'g')) AS digest, true AS numbered FROM chunks WHERE regexp_matches(relative_path, '[.]tsx?$') AND regexp_matches(text, '\\S')")
+def ts_rebuilt(spark, folder):
+    """The pieces of every script put together again: nothing is lost or repeated, and lines don't overlap."""
+    scripts = table(spark, folder, "chunks").where(F.col("relative_path").rlike("[.]tsx?$")).select("point_id", "relative_path", "text").dropDuplicates(["point_id"])
+    pieces = F.array_sort(F.collect_list(F.struct("start_line", "end_line", "chunk_text")))
+    cut = typescript_chunks(scripts, limit=2000).groupBy("point_id").agg(pieces.alias("p"))  # the pieces of one text
+    rising = F.aggregate("p", F.struct(F.lit(0).alias("end"), F.lit(True).alias("ok")), lambda s, x: F.struct(x["end_line"].alias("end"), (s["ok"] & (x["start_line"] > s["end"]) & (x["end_line"] >= x["start_line"])).alias("ok")))
+    return cut.select("point_id", F.md5(F.regexp_replace(F.array_join(F.transform("p", lambda x: x["chunk_text"]), ""), r"\s", "").cast("binary")).alias("digest"), rising["ok"].alias("numbered"))
+
+
 @query(f"WITH {PATHS} SELECT catalog, relative_path FROM paths WHERE ends_with(relative_path, '.ts') ORDER BY md5('7:' || catalog || ':' || relative_path), catalog, relative_path LIMIT 20")
 def sample_files(spark, folder):
     """A repeatable sample of 20 script files: the sampling operator of the audit."""
