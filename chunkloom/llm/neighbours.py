@@ -6,7 +6,7 @@ vector also enters, per table, the bucket of its most likely second choice (mult
 bucket are candidates of each other and are ranked by their exact cosine distance.
 
 At scale: rows are range-partitioned by (table, code, finer digits), so that a bucket that holds a third of all rows is cut by its finer digits
-into ranges of ordinary size instead of landing in one task. Within a range all vectors of a bucket are compared block
+into ranges of ordinary size instead of landing in one task; rows that all digits leave together, as a tight cluster's, are ordered by their place on a random line. Within a range all vectors of a bucket are compared block
 by block, without a cap on candidates; only the best k of each leave the task, never pairs. Equal vectors are one class
 before hashing and are put back from the first k + 1 members of each class.
 """
@@ -86,6 +86,13 @@ class CrossPolytope:
         self.last_dims = min(self.width, max(1, math.ceil(buckets / per ** (self.digits - 1) / 2)))
         rng = np.random.default_rng(seed)
         self.signs = rng.choice(np.array([-1, 1], np.float32), (tables, self.digits + finer, 3, self.width))
+        self.digit = ">u1" if per <= 256 else ">u2"
+        self.lines = rng.normal(size=(tables, dim)).astype(np.float32)
+
+    def place(self, t: int, x: np.ndarray) -> np.ndarray:
+        """Where each row lies on the table's random line, as bytes in that order: it orders rows that all digits leave together, however close they are."""
+        bits = (x @ self.lines[t]).astype(np.float32).view(np.uint32)
+        return np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(">u4")
 
     def codes(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """For each table and probe, the code bytes of each row: the bucket's digits and then the finer ones."""
@@ -110,7 +117,7 @@ class CrossPolytope:
                     # the opposite sign of the same axis is never second: another axis is always nearer
                     second.append(other * 2 + (y[rows, other] < 0))
                     margin.append(top - size[rows, other])
-            code = np.stack(first, axis=1).astype(">u2")
+            code = np.stack(first, axis=1).astype(self.digit)
             yield t, code
             order = np.argsort(np.stack(margin, axis=1), axis=1, kind="stable")
             for p in range(min(self.probes, self.digits)):
@@ -126,9 +133,9 @@ def _hash(family: CrossPolytope):
                 continue
             x = np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.float32).reshape(-1, family.dim)
             for t, code in family.codes(x):
-                prefix = t.to_bytes(2, "big")
+                prefix, last = t.to_bytes(2, "big"), family.place(t, x)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([prefix + c.tobytes() for c in code], pa.binary()), batch.column("vec")], names=["code", "vec"]
+                    [pa.array([prefix + c.tobytes() + p.tobytes() for c, p in zip(code, last)], pa.binary()), batch.column("vec")], names=["code", "vec"]
                 )
 
     return run
@@ -237,7 +244,7 @@ def nearest(
     reps = units.groupBy("cls").agg(F.first("vec").alias("vec"))
     n = units.select(F.approx_count_distinct("cls", 0.02)).head()[0]
     family = CrossPolytope(dim, tables, max(1, n // per_bucket), probes)
-    prefix = 2 + 2 * family.digits
+    prefix = 2 + np.dtype(family.digit).itemsize * family.digits
     ranges = max(spark.sparkContext.defaultParallelism, math.ceil(n * tables * (1 + min(probes, family.digits)) / rows_per_range))
     coded = reps.mapInArrow(_hash(family), _CODED)
     best = coded.repartitionByRange(ranges, "code").sortWithinPartitions("code").mapInArrow(_rerank(dim, k, prefix), _BEST)

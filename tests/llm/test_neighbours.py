@@ -75,3 +75,20 @@ def test_many_copies_give_each_its_first_others(spark):
 @pytest.mark.parametrize("n", [0, 1])
 def test_nothing_to_compare(spark, n):
     assert neighbour_pairs(spark.createDataFrame(rows(["a"] * n, [[1, 0]] * n), SCHEMA), dim=2, k=5).count() == 0
+
+
+def test_a_tight_cluster_is_cut_into_ranges(spark):
+    from chunkloom.llm.neighbours import CrossPolytope, _hash, unit_points
+
+    r = np.random.default_rng(8)
+    centre = r.normal(size=16)
+    rows = [(f"p{i:04d}", [float(v) for v in centre + 1e-6 * r.normal(size=16)]) for i in range(3000)]
+    points = spark.createDataFrame(rows, "point_id string, vector array<float>")
+    family = CrossPolytope(16, 2, 64, 1)
+    coded = unit_points(points, 16).mapInArrow(_hash(family), "code binary, vec binary")
+    digits = coded.selectExpr("left(hex(code), length(hex(code)) - 8) as d").distinct().count()
+    assert digits <= 2 * 2 * 4  # of each table and probe hardly more than one cell
+    sizes = [p[0] for p in coded.repartitionByRange(12, "code").selectExpr("spark_partition_id() as p").groupBy("p").count().select("count").collect()]
+    assert max(sizes) < 3000 and len(sizes) >= 10
+    line = family.place(0, np.stack([centre * 0 - 1, centre * 0, centre * 0 + 1]).astype(np.float32) * family.lines[0])
+    assert line.tobytes()[:4] < line.tobytes()[4:8] < line.tobytes()[8:]
