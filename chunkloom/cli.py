@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from pathlib import Path
 
@@ -11,24 +12,39 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions import text as T
 from chunkloom.operators import quality, search
-from chunkloom.operators.embedding import hashing_embedder, onnx_embedder
+from chunkloom.operators.embedding import EMBEDDING_OVERHEAD, PER_INSTANCE_RAM, RESERVE_RAM, hashing_embedder, onnx_embedder
 from chunkloom.operators.typescript import Cutter, typescript_chunks
 from chunkloom.plans.crawl import crawl
 from chunkloom.sources import git
-from chunkloom.sources.config import Config, ConfigError, Context, check_catalog, check_label, load_rules, resolve_context, tool_home
+from chunkloom.sources.config import Config, ConfigError, Context, check_catalog, check_label, load_rules, resolve_context, resolve_sizing, tool_home
 from chunkloom.sources.warehouse import DatabaseError, Warehouse
 
 
-def session() -> SparkSession:
-    found = SparkSession.getActiveSession() or SparkSession.builder.appName("chunkloom").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+def sizing(config: Config) -> tuple[int, int]:
+    """Instances of the model and threads of each on this machine; says so if they may need more memory than there is to spare."""
+    ram = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    instances, threads = resolve_sizing(config, os.cpu_count() or 1, ram)
+    needed = instances * PER_INSTANCE_RAM + EMBEDDING_OVERHEAD
+    if needed > ram - max(RESERVE_RAM, ram // 4):
+        print(f"warning: {instances} instances of the model may need {needed / (1 << 30):.1f} GB of {ram / (1 << 30):.1f} GB", file=sys.stderr)
+    return instances, threads
+
+
+def session(instances: int | None = None) -> SparkSession:
+    """The session that there is, or a new one; on this machine alone it runs as many tasks, each with a model, as there are to be instances."""
+    builder = SparkSession.builder.appName("chunkloom").config("spark.ui.showConsoleProgress", "false")
+    if instances and not os.environ.get("SPARK_REMOTE") and not os.environ.get("MASTER"):
+        builder = builder.master(f"local[{instances}]")
+    found = SparkSession.getActiveSession() or builder.getOrCreate()
     found.sparkContext.setLogLevel("ERROR")
     return found
 
 
 def embedder_of(config: Config):
-    """The configured model, or else the deterministic stand-in, each with an id of its own."""
+    """The configured model, sized for this machine, or else the deterministic stand-in, each with an id of its own."""
     if config.model_dir:
-        return onnx_embedder(str(config.model_dir)), f"onnx:{config.model_dir.name}"
+        _, threads = sizing(config)
+        return onnx_embedder(str(config.model_dir), threads=threads), f"onnx:{config.model_dir.name}"
     return hashing_embedder(config.vector_dim), f"hashed-words-{config.vector_dim}:v1"
 
 
@@ -108,8 +124,9 @@ def _crawl(args, config: Config) -> str:
         raise ConfigError(f"{where.catalog!r} isn't configured")
     repo = config.catalogs[where.catalog]
     embedder, embedder_id = embedder_of(config)
-    store = Warehouse(session(), config.database)
-    done = crawl(store, repo, where.catalog, where.label, embedder, embedder_id, revision=args.commit, rules=load_rules(repo), incremental_warnings=args.incremental_warnings)
+    store = Warehouse(session(sizing(config)[0] if config.model_dir else None), config.database)
+    tell = lambda said: print(said, file=sys.stderr)
+    done = crawl(store, repo, where.catalog, where.label, embedder, embedder_id, revision=args.commit, rules=load_rules(repo), incremental_warnings=args.incremental_warnings, progress=tell)
     lines = [f"{done.label_id}: {done.new_files} new files, {done.existing_files} known, {done.chunks} chunks written, {done.failed_chunks} failed, {done.removed_chunks} removed"]
     lines += [f"  warning: {p}" for p in done.warnings[:20]] + ([f"  +{len(done.warnings) - 20} more"] if len(done.warnings) > 20 else [])
     if not done.complete:
@@ -145,7 +162,7 @@ def _view(args, config: Config) -> str:
     where = resolve_context(args.catalog, args.label)
     chunks = Warehouse(session(), config.database).label_chunks(where.catalog, where.label)
     line = T.report_line(F.col("breadcrumb"), F.col("split_part_ordinal"), F.col("split_part_count"), F.col("chunk_kind"))
-    out = [] if args.chunks_only else [f"{where.catalog}: {config.catalogs.get(where.catalog, '(not configured)')}", ""]
+    out = [] if args.chunks_only else [*(f"{name}: {path}" for name, path in sorted({where.catalog: "(not configured)", **config.catalogs}.items())), ""]
     for r in search.view(chunks, wanted).withColumn("line", line).collect():
         if r.point_id is None:
             out.append(f"{args.id[r.request]}: CHUNK NOT FOUND")

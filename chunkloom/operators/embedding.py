@@ -83,6 +83,8 @@ def onnx_embedder(model_dir: str, *, max_tokens: int = 8192, threads: int = 1):
             for text in batch:
                 try:
                     encoded = tokenizer.encode(text)
+                    if not encoded.ids:
+                        raise ValueError("no tokens to embed")
                     ids = np.array([encoded.ids], np.int64)
                     given = {"input_ids": ids, "attention_mask": np.ones_like(ids), "token_type_ids": np.zeros_like(ids)}
                     states = session.run(None, {k: v for k, v in given.items() if k in inputs})[0]
