@@ -105,8 +105,20 @@ class WordArrays:
         one name changed to another that those lines don't hold, share at least ``K / 2`` fingerprints if ``K`` is at least twice the
         share ``often`` of the lines of either: half of the ``K`` lines are without the name, or else it is frequent in both texts.
         """
+        owner, value, _ = self.placed_line_prints(often)
+        order = np.lexsort((value, owner))
+        owner, value = owner[order], value[order]
+        new = np.concatenate((np.ones(min(1, len(value)), bool), (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])))
+        return owner[new], value[new]
+
+    def placed_line_prints(self, often: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(owner, fingerprint, line)`` of :meth:`line_prints`, where a fingerprint has a row for each line that it may be of: the line's number, inverted (``~``) if it is without a word.
+
+        Of equal lines, the first ones have the first fingerprints, but the last ones the first of those without a word. So of equal lines, of which some are met as they are and
+        others without a word, as many lines are met as the two together, or all.
+        """
         if not len(self.hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         mixed = _mixed(self.hashes)
         sums = np.add.reduceat(mixed, self.line_starts)
         text_of = np.repeat(np.arange(len(self.lines)), self.lines)
@@ -119,17 +131,15 @@ class WordArrays:
         blind = _mixed(sums[line] - times * mixed[first] + times * np.uint64(0xD6E8FEB86659FD93))
         owner = np.concatenate((text_of, text_of[line]))
         word = np.concatenate((np.full(len(sums), -1), code))
+        place = np.concatenate((np.arange(len(sums)), line))
         value = np.concatenate((sums, blind))
         order = np.lexsort((value, word, owner))
-        owner, word, value = owner[order], word[order], value[order]
+        owner, word, value, place = owner[order], word[order], value[order], place[order]
         new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (word[1:] != word[:-1]) | (value[1:] != value[:-1])))
         at = np.arange(len(value))
         rank = at - np.maximum.accumulate(np.where(new, at, 0))
-        value = _mixed(value + rank.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        order = np.lexsort((value, owner))
-        owner, value = owner[order], value[order]
-        new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])))
-        return owner[new], value[new]
+        size = np.diff(np.append(np.flatnonzero(new), len(value)))[np.cumsum(new) - 1]
+        return owner, _mixed(value + rank.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.where(word < 0, place, ~place[at - 2 * rank + size - 1])
 
 
 def _mixed(hashes: np.ndarray) -> np.ndarray:

@@ -14,9 +14,9 @@ size, or versions are many, they are rewritten into more parts, which happens ev
 manifest, written last, says what belongs to the store: a batch that failed half way has changed nothing.
 
 Hot fingerprints (stock lines that very many texts share): a fingerprint's first few postings make up tier 0, the
-rest tier 1; ranks are taken in salted groups first, so that no task sorts all holders. All lookups read tier 0. Tier 1 is read only for texts still unmatched so much of whose fingerprints
-are hot that a match might hide behind them, so nothing is dropped and no text meets all holders of a stock line in
-vain.
+rest tier 1; ranks are taken in salted groups first, so that no task sorts all holders. All lookups read tier 0. Tier 1 is read only for texts still unmatched so many of whose lines
+are hot that a match might hide behind them, and only those of its texts are compared that share as many lines as a match must (see :meth:`History._may_match`), so nothing is dropped
+and few texts meet all holders of a stock line in vain.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import Window
 from chunkloom.llm.fingerprints import Bloom, WordArrays, class_of, kept_share, word_lines
 from chunkloom.runtime import Scratch, SharedFiles
 
-_READ = "b int, key string, seq long, cls binary, id long, hashes array<long>, fps array<long>, labels array<string>"
+_READ = "b int, key string, seq long, cls binary, id long, hashes array<long>, fps array<long>, prints array<long>, places array<int>, firsts array<boolean>, labels array<string>"
 _HELD = "id long, key string, seq long, labels array<string>, hashes array<long>, v int, part int"
 _POSTINGS = "fp long, id long, seq long, fresh boolean, v int, tier int, part int"
 _FILTERS = "part int, bits binary, v int"
@@ -44,7 +44,7 @@ _BITS = 12
 _SALTS = 16
 
 
-def _read_texts(often: float):
+def _read_texts(often: float, placed: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for at in range(0, len(whole), 2000):
@@ -57,7 +57,20 @@ def _read_texts(often: float):
                 classes = [class_of(x) for x in lines]
                 ids = np.array([int.from_bytes(c[:8], "little", signed=True) for c in classes], np.int64)
                 words = WordArrays(lines)
-                owner, fps = words.line_prints(often)
+                if placed:  # a fingerprint has a row for each line that it may be of; the first of them stands for it
+                    owner, fps, place = words.placed_line_prints(often)
+                    fps = fps & ~np.uint64(1)
+                    order = np.lexsort((place, fps, owner))
+                    owner, fps, place = owner[order], fps[order], place[order]
+                    first = np.concatenate(([True], (owner[1:] != owner[:-1]) | (fps[1:] != fps[:-1])))
+                    new = first | np.concatenate(([True], place[1:] != place[:-1]))
+                    owner, fps, place, first = owner[new], fps[new], place[new], first[new]
+                    ends = np.cumsum(np.bincount(owner, minlength=len(ids)))[:-1]
+                    prints, places, firsts = (np.split(x, ends) for x in (fps.view(np.int64), place.astype(np.int32), first))
+                    owner, fps = owner[first], fps[first]
+                else:
+                    owner, fps = words.line_prints(often)
+                    prints = places = firsts = [[]] * len(ids)
                 # keys are odd, fingerprints of lines even
                 keys = batch["keys"].tolist()
                 told = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
@@ -66,7 +79,7 @@ def _read_texts(often: float):
                 fps = np.concatenate((fps.view(np.int64) & ~1, (ids ^ 0x5555555555555555) | 1, own | 1))
                 order = np.argsort(owner, kind="stable")
                 each = [np.unique(x) for x in np.split(fps[order], np.cumsum(np.bincount(owner, minlength=len(ids)))[:-1])]
-                yield pd.DataFrame({"b": batch["b"], "key": batch["key"], "seq": batch["seq"], "cls": classes, "id": ids, "hashes": words.line_hashes(), "fps": each, "labels": batch["labels"]})
+                yield pd.DataFrame({"b": batch["b"], "key": batch["key"], "seq": batch["seq"], "cls": classes, "id": ids, "hashes": words.line_hashes(), "fps": each, "prints": prints, "places": places, "firsts": firsts, "labels": batch["labels"]})
 
     return run
 
@@ -174,9 +187,9 @@ class History:
 
     # --- texts
 
-    def _read(self, rows: DataFrame, key: Column, seq: Column, number: Column | None = None) -> DataFrame:
-        """The texts that hold words, read; ``b`` is the number of their batch."""
-        named = rows.select(
+    def _read(self, rows: DataFrame, key: Column, seq: Column, number: Column | None = None, placed: bool = True) -> DataFrame:
+        """The texts that hold words, read; ``b`` is the number of their batch. With ``placed`` their fingerprints tell the lines that they may be of."""
+        texts = rows.select(
             (F.lit(None) if number is None else number).cast("int").alias("b"),
             key.cast("string").alias("key"),
             seq.cast("long").alias("seq"),
@@ -184,14 +197,14 @@ class History:
             F.coalesce("active_label_ids", F.array().cast("array<string>")).alias("labels"),
             _file_keys(rows).alias("keys"),
         )
-        return named.where("key is not null and text is not null").mapInPandas(_read_texts(self.enough / 2), _READ)
+        return texts.where("key is not null and text is not null").mapInPandas(_read_texts(self.enough / 2, placed), _READ)
 
     def _distinct(self, read: DataFrame) -> DataFrame:
         """One row per batch and class of texts: its first member with that one's labels."""
         return (
             read.groupBy("b", "cls")
-            .agg(F.min(F.struct("seq", "key", "labels")).alias("f"), *(F.first(c).alias(c) for c in ("id", "hashes", "fps")))
-            .select("b", "id", F.col("f.key").alias("key"), F.col("f.seq").alias("seq"), F.col("f.labels").alias("labels"), "hashes", "fps")
+            .agg(F.min(F.struct("seq", "key", "labels")).alias("f"), *(F.first(c).alias(c) for c in ("id", "hashes", "fps", "prints", "places", "firsts")))
+            .select("b", "id", F.col("f.key").alias("key"), F.col("f.seq").alias("seq"), F.col("f.labels").alias("labels"), "hashes", "fps", "prints", "places", "firsts")
         )
 
     # --- postings and filters
@@ -249,7 +262,7 @@ class History:
 
     def found(self, history: DataFrame, key: str = "point_id") -> None:
         """Makes the store from the accepted texts; repeats of a key and equal texts are held once."""
-        distinct = self.scratch.write(self._distinct(self._read(history, F.col(key), F.lit(-1))), "founding")
+        distinct = self.scratch.write(self._distinct(self._read(history, F.col(key), F.lit(-1), placed=False)), "founding")
         sizes = distinct.agg(F.count("*"), F.coalesce(F.sum(F.size("fps")), F.lit(0))).head()
         parts = _power(sizes[1] / self.state["part_rows"])
         held_parts = _power(8 * sizes[0] / self.state["part_rows"])  # a held row is about as large as eight postings
@@ -332,7 +345,9 @@ class History:
         met = own.join(before, "fp").where("held_seq < seq")
         # fingerprints that have, or may have, holders in tier 1
         full = taken.where(F.col("taken") >= self.head).select("fp").unionByName(tiers.where("tier = 1").select("fp")).distinct()
-        hot = write(own.where(line).join(full, "fp").groupBy("id", "n").agg(F.count("*").alias("hot")), "hot")
+        placed = distinct.select("id", "seq", F.size("hashes").alias("n"), F.explode(F.arrays_zip("prints", "places", "firsts")).alias("x"))
+        placed = placed.select("id", "seq", "n", F.col("x.prints").alias("fp"), F.col("x.places").alias("place"), F.col("x.firsts").alias("first"))
+        hot = write(placed.join(full, "fp").groupBy("id", "n").agg(F.count_if("first").alias("hot"), *_whole_and_covered()), "hot")
         need = F.ceil(F.col("n") * (self.enough / 2))
         hot_n = F.coalesce("hot", F.lit(0))
         # all holders of a fingerprint that isn't hot are in tier 0; texts that hot ones might match alone are looked up in tier 1 too
@@ -345,22 +360,31 @@ class History:
             .select("id", "held")
         )
         sure = self._verified(write(pairs, "pairs"), distinct, write, "sure")
-        # tier 1, for texts that tier 0 left unmatched although their hot fingerprints alone might make a match
-        open_ids = write(hot.where(F.col("hot") >= need).join(sure.select("id").distinct(), "id", "left_anti").select("id"), "open")
+        # tier 1, for texts that tier 0 left unmatched although their hot fingerprints, and what it may have shown of a match besides, might make one
+        shown = F.least(need, F.lit(2)) - 1
+        open_ids = hot.where((F.col("hot") >= need) & self._may_match(F.col("whole") + shown, F.col("covered") + shown))
+        open_ids = write(open_ids.join(sure.select("id").distinct(), "id", "left_anti").select("id"), "open")
         if open_ids.head(1):
-            lost = own.where(line).join(open_ids, "id", "left_semi")
+            lost = placed.join(open_ids, "id", "left_semi")
             wanted = write(lost.select("fp").distinct(), "wanted")
-            tail = self._lookup(1, wanted).withColumn("held_seq", F.lit(-2).cast("long"))
-            tail = tail.unionByName(before).unionByName(tiers.where("tier = 1").select("fp", F.col("id").alias("held"), F.col("seq").alias("held_seq")))
+            # a class of the batch that the store holds too is met there, so each holder of a fingerprint comes once
+            tail = hits.unionByName(self._lookup(1, wanted)).withColumn("held_seq", F.lit(-2).cast("long"))
+            tail = tail.unionByName(tiers.where("fresh").select("fp", F.col("id").alias("held"), F.col("seq").alias("held_seq")))
+            tail = write(tail, "tail")
+            earlier = (F.col("id") != F.col("held")) & (F.col("held_seq") < F.col("seq"))
+            near = self._rare_lines(lost, tail.groupBy("fp").agg(F.count("*").alias("holders"))).join(tail, "fp").where(earlier)
+            near = write(near.select("id", "held").distinct(), "near")
             deep = (
-                lost.join(tail, "fp")
-                .where("id <> held and held_seq < seq")
+                tail.join(near, "held")
+                .join(lost, ["id", "fp"])
+                .where(earlier)
                 .groupBy("id", "held", "n")
-                .agg(F.countDistinct("fp").alias("shared"))
-                .where(F.col("shared") >= need)
+                .agg(*_whole_and_covered())
+                .where(self._may_match(F.col("whole"), F.col("covered")))
                 .select("id", "held")
             )
             sure = sure.unionByName(self._verified(write(deep, "deep"), distinct, write, "far"))
+            self.scratch.remove(f"tail-{v}")
         best = sure.groupBy("id").agg(F.min(F.struct((-F.col("share")).alias("less"), "held_seq", "held_key", "held_labels")).alias("m"))
         inside = distinct.select("id", F.col("key").alias("first_key"), F.col("seq").alias("first_seq"), F.col("labels").alias("first_labels"))
         return (
@@ -379,6 +403,27 @@ class History:
             )
         )
 
+    def _least(self) -> Column:
+        """How many of its ``n`` lines a text shares with a match at least, as they are or but for one name."""
+        return F.ceil(F.col("n") * self.enough - 1e-9)
+
+    def _may_match(self, whole: Column, covered: Column) -> Column:
+        """Whether a text of ``n`` lines may be a match that shares ``whole`` of its lines as they are, and ``covered`` as they are or without a word.
+
+        A match keeps the share ``enough`` of the longer text's lines: some as they are, the others but for one name. If that is frequent in both texts (see
+        :meth:`WordArrays.line_prints`), they share the others without it. Else fewer than half of that share can hold it, so the greater half is shared as it is.
+        """
+        return (covered >= self._least()) | (whole > F.floor(self._least() / 2))
+
+    def _rare_lines(self, placed: DataFrame, holders: DataFrame) -> DataFrame:
+        """``(id, seq, fp)`` of texts, of which every match by :meth:`_may_match` shares one: without the lines of most holders, one fewer than a match must share."""
+        line = F.expr("if(place < 0, ~place, place)")
+        held = placed.withColumn("line", line).join(holders, "fp", "left")
+        held = held.withColumn("weight", F.coalesce(F.sum("holders").over(Window.partitionBy("id", "line")), F.lit(0)))
+        rank = F.dense_rank().over(Window.partitionBy("id").orderBy(F.desc("weight"), "line"))
+        rare = (rank >= self._least()) | ((F.col("place") >= 0) & (rank > F.floor(self._least() / 2)))
+        return held.withColumn("rare", rare).where("rare and holders is not null").select("id", "seq", "fp").distinct()
+
     def _verified(self, pairs: DataFrame, distinct: DataFrame, write, name: str) -> DataFrame:
         """The pairs that keep enough lines, with their share and what is told of the held text."""
         about = (F.col("id").alias("held"), F.col("key").alias("held_key"), F.col("seq").alias("held_seq"), F.col("labels").alias("held_labels"), F.col("hashes").alias("held_hashes"))
@@ -392,6 +437,11 @@ class History:
         return write(full.mapInPandas(_verify(self.enough), "held long, held_key string, held_seq long, held_labels array<string>, id long, share double"), name)
 
 
+def _whole_and_covered() -> tuple[Column, Column]:
+    """Of a text's fingerprints that are met: how many of its lines are met as they are, and how many as they are or without a word."""
+    return F.count_if(F.col("place") >= 0).alias("whole"), F.count_distinct(F.expr("if(place < 0, ~place, place)")).alias("covered")
+
+
 def _power(parts: float) -> int:
     """The least power of two that isn't below a number of parts."""
     return 1 << max(0, int(np.ceil(np.log2(max(1.0, parts)))))

@@ -4,8 +4,9 @@ import re
 import numpy as np
 import pytest
 
-from chunkloom.llm.fingerprints import Bloom, class_of, kept_share, line_hashes, winnow, word_lines
+from chunkloom.llm.fingerprints import Bloom, WordArrays, class_of, kept_share, line_hashes, winnow, word_lines
 from chunkloom.llm.history import History, screen_batches
+from chunkloom.runtime import Scratch
 
 CHUNKS = "point_id string, text string, active_label_ids array<string>, id long, fp long"
 INCOMING = "incoming_id long, batch_no int, text string, active_label_ids array<string>, key string"
@@ -218,3 +219,62 @@ def test_hashes_find_candidates_but_prove_nothing(spark):
     new = [(1, 1, chunk(50), ["c:x"], "ab" * 32, "cd" * 20, 1), (2, 1, edited(chunk(1), [1]), ["c:y"], "AB" * 32 + " ", None, 1), (3, 1, chunk(2), [], None, "", 1)]
     got = screen_batches(spark.createDataFrame(rows, schema), spark.createDataFrame(new, "incoming_id long, batch_no int, text string, active_label_ids array<string>, content_hash string, blob_id string, chunk_ordinal int"))
     assert {r.incoming_id: (r.held_key, list(r.gained)) for r in got.collect()} == {2: ("a", ["c:y"]), 3: ("b", [])}
+
+
+def test_shared_lines_of_a_match_are_never_fewer_than_the_bound(spark):
+    """Texts that keep half of their lines but for one changed name, of few words, so that names are frequent in some and not in others."""
+    r = random.Random(4)
+    bound = History(spark, Scratch(spark, "bound").path)
+    pairs = []
+    for _ in range(3000):
+        names, n = [f"n{i}" for i in range(6)], r.randint(2, 16)
+        own = [" ".join([f"w{r.randint(0, 12)}"] + [r.choice(names)] * r.randint(0, 2) + [r.choice(names)]) for _ in range(n)]
+        kept = [" ".join("changed" if w == "n0" else w for w in line.split()) for line in r.sample(own, r.randint(1, n))]
+        held = kept + [f"other{r.randint(0, 99)} n{r.randint(0, 5)}" for _ in range(r.randint(0, n))]
+        if len(kept) >= 0.5 * max(n, len(held)) and kept_share(*line_hashes([own, held])) >= 0.5:
+            words = WordArrays([own, held])
+            owner, fps, place = words.placed_line_prints(0.25)
+            of_held = set(fps[owner == 1])
+            shared = [(int(p), f) for o, f, p in zip(owner, fps, place) if o == 0 and f in of_held]
+            plain_owner, plain = words.line_prints(0.25)
+            assert {f for _, f in shared} == set(plain[plain_owner == 0]) & of_held
+            pairs.append((n, len({p for p, _ in shared if p >= 0}), len({max(p, ~p) for p, _ in shared})))
+    assert len(pairs) > 500
+    rows = spark.createDataFrame(pairs, "n int, whole int, covered int")
+    assert rows.where(~bound._may_match(rows["whole"], rows["covered"])).count() == 0
+
+
+def test_texts_that_share_few_stock_lines_are_not_compared_with_all_holders(spark, monkeypatch):
+    stock = "every file opens with someName\nand it ends with someName"
+    held = [stock + "\n" + chunk(i, 6) for i in range(60)]
+    own = [f"keep someName as {w}" for w in WORDS[:12]]
+    # of the last texts more lines are stock, so all holders are met, with a changed name too
+    held += ["\n".join(own[:9]) + f"\nrest {i} a\nrest {i} b\nrest {i} c" for i in range(30)]
+    new = [(i + 1, 1, stock + "\n" + chunk(1000 + i, 6)) for i in range(5)] + [(6, 1, "\n".join(own[:7]).replace("someName", "otherName") + "\nrest 25 a\nrest 25 b\nrest 25 c")]
+    compared = {}
+    verified = History._verified
+
+    def counted(self, pairs, distinct, write, name):
+        compared[name] = compared.get(name, 0) + pairs.count()
+        return verified(self, pairs, distinct, write, name)
+
+    monkeypatch.setattr(History, "_verified", counted)
+    got = run(spark, held, new, head=2)
+    assert set(got) == {6} and got[6].share >= 0.5
+    assert compared.get("far", 0) <= 30
+
+
+def test_matches_behind_lines_that_many_hold_against_brute_force(spark):
+    r = random.Random(12)
+    pool = [f"{w} someName {WORDS[(7 * i) % 56]}" if i % 3 else f"{w} {WORDS[(5 * i) % 56]} x" for i, w in enumerate(WORDS[:30])]
+    held = ["\n".join(r.sample(pool, 10)) for _ in range(60)]
+    new = []
+    for i in range(40):
+        lines = r.choice(held).split("\n") if i % 2 else r.sample(pool, 10)
+        lines = [line.replace("someName", "otherName") if i % 4 > 1 else line for line in lines]
+        for k in r.sample(range(10), 4):
+            lines[k] = f"own {i} line {k}"
+        new.append((i + 1, 1, "\n".join(lines)))
+    got = run(spark, held, new, head=1)
+    best = {i: max(shares(text, t) for t in held + [t for j, _, t in new if j < i]) for i, _, text in new}
+    assert set(got) == {i for i, share in best.items() if share >= 0.5} and 10 < len(got) < 40
