@@ -34,14 +34,18 @@ from pyspark.sql import Window
 from chunkloom.llm.fingerprints import Bloom, WordArrays, class_of, kept_share, word_lines
 from chunkloom.runtime import Scratch, SharedFiles
 
-_READ = "b int, key string, seq long, cls binary, id long, hashes array<long>, fps array<long>, prints array<long>, places array<int>, firsts array<boolean>, labels array<string>"
+_READ = "b long, key string, seq long, cls binary, id long, hashes array<long>, fps array<long>, prints array<long>, places array<int>, firsts array<boolean>, labels array<string>"
 _HELD = "id long, key string, seq long, labels array<string>, hashes array<long>, v int, part int"
-_POSTINGS = "fp long, id long, seq long, fresh boolean, v int, tier int, part int"
+_POSTINGS = "fp long, id long, b long, seq long, fresh boolean, v int, tier int, part int"
 _FILTERS = "part int, bits binary, v int"
 #: bits of a Bloom filter per fingerprint
 _BITS = 12
 #: ranks are taken in this many groups of a fingerprint's holders first
 _SALTS = 16
+#: the numbers of a batch that what the store holds, and texts without a number, count as
+_HELD_BATCH, _LAST_BATCH = -(1 << 63), 1 << 31
+#: held in the store, an earlier batch, or an earlier row of the batch
+_EARLIER = "held_b < b or held_b = b and held_seq < seq"
 
 
 def _read_texts(often: float, placed: bool):
@@ -188,41 +192,47 @@ class History:
     # --- texts
 
     def _read(self, rows: DataFrame, key: Column, seq: Column, number: Column | None = None, placed: bool = True) -> DataFrame:
-        """The texts that hold words, read; ``b`` is the number of their batch. With ``placed`` their fingerprints tell the lines that they may be of."""
+        """The texts that hold words, read; ``b`` is the number of their batch, ``form`` tells how their lines are broken. With ``placed`` their fingerprints tell the lines that they may be of."""
         texts = rows.select(
-            (F.lit(None) if number is None else number).cast("int").alias("b"),
+            F.coalesce((F.lit(None) if number is None else number).cast("int").cast("long"), F.lit(_LAST_BATCH)).alias("b"),
             key.cast("string").alias("key"),
             seq.cast("long").alias("seq"),
             "text",
             F.coalesce("active_label_ids", F.array().cast("array<string>")).alias("labels"),
             _file_keys(rows).alias("keys"),
         )
-        return texts.where("key is not null and text is not null").mapInPandas(_read_texts(self.enough / 2, placed), _READ)
+        return texts.where("key is not null and text is not null").mapInPandas(_read_texts(self.enough / 2, placed), _READ).withColumn("form", F.xxhash64("hashes"))
 
     def _distinct(self, read: DataFrame) -> DataFrame:
-        """One row per batch and class of texts: its first member with that one's labels."""
+        """One row per class of texts: its first member with that one's labels."""
         return (
-            read.groupBy("b", "cls")
-            .agg(F.min(F.struct("seq", "key", "labels")).alias("f"), *(F.first(c).alias(c) for c in ("id", "hashes", "fps", "prints", "places", "firsts")))
-            .select("b", "id", F.col("f.key").alias("key"), F.col("f.seq").alias("seq"), F.col("f.labels").alias("labels"), "hashes", "fps", "prints", "places", "firsts")
+            read.groupBy("cls")
+            .agg(F.min(F.struct("seq", "key", "labels")).alias("f"), *(F.first(c).alias(c) for c in ("id", "hashes", "fps")))
+            .select("id", F.col("f.key").alias("key"), F.col("f.seq").alias("seq"), F.col("f.labels").alias("labels"), "hashes", "fps")
         )
 
+    def _forms(self, read: DataFrame) -> DataFrame:
+        """One row per class of texts and form of its lines: its first member, by batch and number, with that one's labels; ``lead`` are the first of their class."""
+        forms = read.groupBy("cls", "form").agg(F.min(F.struct("b", "seq", "key", "labels")).alias("f"), *(F.first(c).alias(c) for c in ("id", "hashes", "fps", "prints", "places", "firsts")))
+        forms = forms.withColumn("lead", F.row_number().over(Window.partitionBy("cls").orderBy("f.b", "f.seq", "form")) == 1)
+        return forms.select("id", "form", "lead", *(F.col(f"f.{c}").alias(c) for c in ("b", "seq", "key", "labels")), "hashes", "fps", "prints", "places", "firsts")
+
     # --- postings and filters
 
-    def _tiers(self, fingers: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    def _tiers(self, fingers: DataFrame, taken: DataFrame | None = None, order: tuple[str | Column, ...] = ("seq", "id")) -> DataFrame:
         """The fingerprints with their tier: the first ``head`` holders, in the store and here, are tier 0.
 
         Who isn't among the first of a salted group isn't among the first of all; only the first of the groups are ranked again.
         """
-        near = F.row_number().over(Window.partitionBy("fp", F.pmod("id", F.lit(_SALTS))).orderBy("seq", "id"))
+        near = F.row_number().over(Window.partitionBy("fp", F.pmod("id", F.lit(_SALTS))).orderBy(*order))
         ranked = fingers.withColumn("near", near <= self.head)
-        ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("fp", F.when(F.col("near"), F.lit(0)).otherwise(F.col("id"))).orderBy("seq", "id")))
+        ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("fp", F.when(F.col("near"), F.lit(0)).otherwise(F.col("id"))).orderBy(*order)))
         if taken is not None:
             ranked = ranked.join(taken, "fp", "left").withColumn("at", F.col("at") + F.coalesce("taken", F.lit(0)))
         return ranked.withColumn("tier", F.when(F.col("near") & (F.col("at") <= self.head), 0).otherwise(1))
 
     def _post(self, tiers: DataFrame, v: int, parts: int) -> None:
-        rows = tiers.select("fp", "id", "seq", "fresh", "tier", self._part("fp", parts))
+        rows = tiers.select("fp", "id", *(["b"] if "b" in tiers.columns else []), "seq", "fresh", "tier", self._part("fp", parts))
         # tier 1 of a hot fingerprint may be most of its part: it is written by several tasks
         several = F.when(F.col("tier") == 1, F.pmod("id", F.lit(_SALTS))).otherwise(-1)
         self._write(rows.repartition(parts, "part", several), "postings", v, "tier", "part")
@@ -299,31 +309,43 @@ class History:
         The result reads tables that :meth:`close` removes.
         """
         v = self.state["next"]
-        read = self.scratch.write(self._read(batch, F.col(key), F.col(key)), f"read-{v}")
-        distinct = self.scratch.write(self._distinct(read), f"distinct-{v}")
-        return self._screened(read, distinct, distinct.count())
+        return self._screened(self.scratch.write(self._read(batch, F.col(key), F.col(key)), f"read-{v}")).drop("b")
+
+    def screen_all(self, batches: DataFrame, number: str = "batch_no", key: str = "incoming_id") -> list[DataFrame]:
+        """Screens batches that have all arrived, in order of their number (none is last, as ``b`` of the result it is ``_LAST_BATCH``), each as :meth:`screen` does after those before it.
 
-    def screen_all(self, batches: DataFrame, number: str = "batch_no", key: str = "incoming_id") -> list[tuple[int | None, DataFrame]]:
-        """Screens batches that have all arrived, in order of their number (none is last), each as :meth:`screen` does; their texts are read in one go."""
+        Their texts are read in one go, and consecutive batches make up one round of jobs and one version, as long as they have no more fingerprints than the parts of the store are meant for. So
+        rounds, with their plans and broadcasts on the driver, grow with what is new as measured by the store, not with the number of batches.
+        """
         v = self.state["next"]
         read = self.scratch.write(self._read(batches, F.col(key), F.col(key), F.col(number)), f"read-{v}", partition_by=("b",))
-        distinct = self.scratch.write(self._distinct(read), f"distinct-{v}", partition_by=("b",))
-        numbers = sorted(distinct.groupBy("b").count().collect(), key=lambda r: (r[0] is None, r[0]))
-        own = lambda df, number: df.where(F.col("b").eqNullSafe(F.lit(number)))
-        return [(n, self._screened(own(read, n), own(distinct, n), texts)) for n, texts in numbers]
-
-    def _screened(self, read: DataFrame, distinct: DataFrame, texts: int) -> DataFrame:
+        sizes = sorted(tuple(r) for r in read.groupBy("b").agg(F.sum(F.size("fps"))).collect())
+        found = []
+        while sizes:
+            room, rows, last = self.state["part_rows"] * self.state["parts"], 0, 0
+            while last < len(sizes) and (not last or rows + sizes[last][1] <= room):
+                rows, last = rows + sizes[last][1], last + 1
+            found.append(self._screened(read.where(F.col("b").between(sizes[0][0], sizes[last - 1][0]))))
+            sizes = sizes[last:]
+        return found
+
+    def _screened(self, read: DataFrame) -> DataFrame:
+        """One round: texts of one or more batches, each held if the store, an earlier batch or an earlier row of its own batch holds it."""
         v, write = self.state["next"], lambda df, name: self.scratch.write(df, f"{name}-{v}")
-        own = distinct.select("id", "seq", F.size("hashes").alias("n"), F.explode("fps").alias("fp"))
+        distinct = write(self._forms(read), "distinct")
+        texts = distinct.count()
+        own = distinct.select("id", "form", "lead", "b", "seq", F.size("hashes").alias("n"), F.explode("fps").alias("fp"))
         positive = write(self._screen(own.select("fp").distinct()), "positive")
         hits = write(self._lookup(0, positive), "hits")
         taken = hits.groupBy("fp").agg(F.count("*").cast("int").alias("taken"))
         # a class has one posting of its own key, which never is hot: classes that the store lacks are those without
         known = hits.where(F.col("fp") == F.col("held").bitwiseXOR(F.lit(0x5555555555555555)).bitwiseOR(F.lit(1))).select(F.col("held").alias("id"), F.lit(False).alias("fresh"))
-        tiers = self._tiers(own, taken).join(self._small(known, texts), "id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(True)))
+        # of a class that is new, the first form is held; the others, and classes that the store has, are met in this round only, and leave tier 0 to what is held
+        fresh = own.join(self._small(known, texts), "id", "left").withColumn("fresh", F.coalesce("fresh", "lead"))
+        tiers = self._tiers(fresh, taken, (F.desc("fresh"), "b", "seq", "id"))
         with ThreadPoolExecutor(2) as beside:
             # update the store, while the texts are compared: classes that it lacks, and the filters
-            holding = beside.submit(self._hold, distinct.join(self._small(known.select("id"), texts), "id", "left_anti"), v, self.state["held_parts"])
+            holding = beside.submit(self._hold, distinct.where("lead").join(self._small(known.select("id"), texts), "id", "left_anti"), v, self.state["held_parts"])
             self._post(tiers, v, self.state["parts"])
             filtering = beside.submit(self._filter, v, self.state["parts"])
             result = self._compared(read, distinct, own, hits, taken, texts, v)
@@ -339,62 +361,62 @@ class History:
         tiers = self._table("postings", [v], _POSTINGS)
 
         line = F.col("fp").bitwiseAND(F.lit(1)) == 0
-        # tier 0 of the history, and of this batch's earlier texts
-        earlier = tiers.where("tier = 0").select("fp", F.col("id").alias("held"), F.col("seq").alias("held_seq"))
-        before = hits.withColumn("held_seq", F.lit(-2).cast("long")).unionByName(earlier)
-        met = own.join(before, "fp").where("held_seq < seq")
+        # tier 0 of the history, and of this round's earlier texts
+        posted = lambda rows: rows.select("fp", F.col("id").alias("held"), F.col("b").alias("held_b"), F.col("seq").alias("held_seq"))
+        stored = lambda rows: rows.withColumns({"held_b": F.lit(_HELD_BATCH), "held_seq": F.lit(-1).cast("long")})
+        met = own.join(stored(hits).unionByName(posted(tiers.where("tier = 0"))), "fp").where(_EARLIER)
         # fingerprints that have, or may have, holders in tier 1
         full = taken.where(F.col("taken") >= self.head).select("fp").unionByName(tiers.where("tier = 1").select("fp")).distinct()
-        placed = distinct.select("id", "seq", F.size("hashes").alias("n"), F.explode(F.arrays_zip("prints", "places", "firsts")).alias("x"))
-        placed = placed.select("id", "seq", "n", F.col("x.prints").alias("fp"), F.col("x.places").alias("place"), F.col("x.firsts").alias("first"))
-        hot = write(placed.join(full, "fp").groupBy("id", "n").agg(F.count_if("first").alias("hot"), *_whole_and_covered()), "hot")
+        placed = distinct.select("id", "form", "b", "seq", F.size("hashes").alias("n"), F.explode(F.arrays_zip("prints", "places", "firsts")).alias("x"))
+        placed = placed.select("id", "form", "b", "seq", "n", F.col("x.prints").alias("fp"), F.col("x.places").alias("place"), F.col("x.firsts").alias("first"))
+        hot = write(placed.join(full, "fp").groupBy("id", "form", "n").agg(F.count_if("first").alias("hot"), *_whole_and_covered()), "hot")
         need = F.ceil(F.col("n") * (self.enough / 2))
         hot_n = F.coalesce("hot", F.lit(0))
         # all holders of a fingerprint that isn't hot are in tier 0; texts that hot ones might match alone are looked up in tier 1 too
         least = F.when(hot_n < need, need - hot_n).otherwise(F.least(need, F.lit(2)))
         pairs = (
-            met.groupBy("id", "held", "n")
+            met.groupBy("id", "form", "held", "n")
             .agg(F.count_if(line).alias("shared"), F.count_if(~line).alias("keyed"))
-            .join(self._small(hot.select("id", "hot"), texts), "id", "left")
+            .join(self._small(hot.select("id", "form", "hot"), texts), ["id", "form"], "left")
             .where((F.col("shared") >= least) | (F.col("keyed") > 0))
-            .select("id", "held")
+            .select("id", "form", "held")
         )
         sure = self._verified(write(pairs, "pairs"), distinct, write, "sure")
         # tier 1, for texts that tier 0 left unmatched although their hot fingerprints, and what it may have shown of a match besides, might make one
         shown = F.least(need, F.lit(2)) - 1
         open_ids = hot.where((F.col("hot") >= need) & self._may_match(F.col("whole") + shown, F.col("covered") + shown))
-        open_ids = write(open_ids.join(sure.select("id").distinct(), "id", "left_anti").select("id"), "open")
+        open_ids = write(open_ids.join(sure.select("id", "form").distinct(), ["id", "form"], "left_anti").select("id", "form"), "open")
         if open_ids.head(1):
-            lost = placed.join(open_ids, "id", "left_semi")
+            lost = placed.join(open_ids, ["id", "form"], "left_semi")
             wanted = write(lost.select("fp").distinct(), "wanted")
-            # a class of the batch that the store holds too is met there, so each holder of a fingerprint comes once
-            tail = hits.unionByName(self._lookup(1, wanted)).withColumn("held_seq", F.lit(-2).cast("long"))
-            tail = tail.unionByName(tiers.where("fresh").select("fp", F.col("id").alias("held"), F.col("seq").alias("held_seq")))
-            tail = write(tail, "tail")
-            earlier = (F.col("id") != F.col("held")) & (F.col("held_seq") < F.col("seq"))
+            # a class of the round that the store holds too is met there, so each holder of a fingerprint comes once
+            tail = write(stored(hits.unionByName(self._lookup(1, wanted))).unionByName(posted(tiers.where("fresh"))), "tail")
+            earlier = (F.col("id") != F.col("held")) & F.expr(_EARLIER)
             near = self._rare_lines(lost, tail.groupBy("fp").agg(F.count("*").alias("holders"))).join(tail, "fp").where(earlier)
-            near = write(near.select("id", "held").distinct(), "near")
+            near = write(near.select("id", "form", "held").distinct(), "near")
             deep = (
                 tail.join(near, "held")
-                .join(lost, ["id", "fp"])
+                .join(lost, ["id", "form", "fp"])
                 .where(earlier)
-                .groupBy("id", "held", "n")
+                .groupBy("id", "form", "held", "n")
                 .agg(*_whole_and_covered())
                 .where(self._may_match(F.col("whole"), F.col("covered")))
-                .select("id", "held")
+                .select("id", "form", "held")
             )
             sure = sure.unionByName(self._verified(write(deep, "deep"), distinct, write, "far"))
             self.scratch.remove(f"tail-{v}")
-        best = sure.groupBy("id").agg(F.min(F.struct((-F.col("share")).alias("less"), "held_seq", "held_key", "held_labels")).alias("m"))
-        inside = distinct.select("id", F.col("key").alias("first_key"), F.col("seq").alias("first_seq"), F.col("labels").alias("first_labels"))
+        best = sure.groupBy("id", "form").agg(F.min(F.struct((-F.col("share")).alias("less"), "held_seq", "held_key", "held_labels")).alias("m"))
+        inside = distinct.where("lead").select("id", *(F.col(c).alias(f"first_{c}") for c in ("key", "b", "seq", "labels")))
+        later = F.expr("first_b < b or first_b = b and first_seq < seq")
         return (
-            read.select("id", "key", "seq", "labels")
+            read.select("id", "form", "b", "key", "seq", "labels")
             .join(inside, "id")
-            .join(best, "id", "left")
-            .where("m is not null or seq > first_seq")
+            .join(best, ["id", "form"], "left")
+            .where(F.col("m").isNotNull() | later)
             # an earlier row of the same class is a match of share 1, which only one before that can outdo
-            .withColumn("copy", (F.col("seq") > F.col("first_seq")) & F.coalesce(F.col("m.less") > -1.0, F.lit(True)))
+            .withColumn("copy", later & F.coalesce(F.col("m.less") > -1.0, F.lit(True)))
             .select(
+                "b",
                 "key",
                 F.when(F.col("copy"), F.col("first_key")).otherwise(F.col("m.held_key")).alias("held_key"),
                 F.when(F.col("copy"), F.col("first_seq")).otherwise(F.col("m.held_seq")).alias("held_seq"),
@@ -416,25 +438,25 @@ class History:
         return (covered >= self._least()) | (whole > F.floor(self._least() / 2))
 
     def _rare_lines(self, placed: DataFrame, holders: DataFrame) -> DataFrame:
-        """``(id, seq, fp)`` of texts, of which every match by :meth:`_may_match` shares one: without the lines of most holders, one fewer than a match must share."""
+        """``(id, form, b, seq, fp)`` of texts, of which every match by :meth:`_may_match` shares one: without the lines of most holders, one fewer than a match must share."""
         line = F.expr("if(place < 0, ~place, place)")
         held = placed.withColumn("line", line).join(holders, "fp", "left")
-        held = held.withColumn("weight", F.coalesce(F.sum("holders").over(Window.partitionBy("id", "line")), F.lit(0)))
-        rank = F.dense_rank().over(Window.partitionBy("id").orderBy(F.desc("weight"), "line"))
+        held = held.withColumn("weight", F.coalesce(F.sum("holders").over(Window.partitionBy("id", "form", "line")), F.lit(0)))
+        rank = F.dense_rank().over(Window.partitionBy("id", "form").orderBy(F.desc("weight"), "line"))
         rare = (rank >= self._least()) | ((F.col("place") >= 0) & (rank > F.floor(self._least() / 2)))
-        return held.withColumn("rare", rare).where("rare and holders is not null").select("id", "seq", "fp").distinct()
+        return held.withColumn("rare", rare).where("rare and holders is not null").select("id", "form", "b", "seq", "fp").distinct()
 
     def _verified(self, pairs: DataFrame, distinct: DataFrame, write, name: str) -> DataFrame:
         """The pairs that keep enough lines, with their share and what is told of the held text."""
         about = (F.col("id").alias("held"), F.col("key").alias("held_key"), F.col("seq").alias("held_seq"), F.col("labels").alias("held_labels"), F.col("hashes").alias("held_hashes"))
         stored, rows = self._in_parts(self._table("held", self.state["held"], _HELD), pairs.select(F.col("held").alias("id")), "id", self.state["held_parts"])
-        # a text of the batch may be of a class that the store holds too: that one is its match
-        both = stored.select(*about, F.lit(True).alias("stored")).unionByName(distinct.select(*about, F.lit(False).alias("stored")))
+        # a text of the round may be of a class that the store holds too: that one is its match
+        both = stored.select(*about, F.lit(_HELD_BATCH).alias("held_b")).unionByName(distinct.select(*about, F.col("b").alias("held_b")))
         with_held = both.join(self._small(pairs, rows), "held")
-        full = with_held.join(distinct.select("id", F.col("hashes").alias("new_hashes"), F.col("seq").alias("own_seq")), "id").where("stored or held_seq < own_seq").drop("own_seq", "stored")
+        full = with_held.join(distinct.select("id", "form", F.col("hashes").alias("new_hashes"), "b", "seq"), ["id", "form"]).where(_EARLIER).drop("held_b", "b", "seq")
         # comparing takes longer than reading, so the pairs are spread by number, not by size
         full = full.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "id", "held")
-        return write(full.mapInPandas(_verify(self.enough), "held long, held_key string, held_seq long, held_labels array<string>, id long, share double"), name)
+        return write(full.mapInPandas(_verify(self.enough), "held long, held_key string, held_seq long, held_labels array<string>, id long, form long, share double"), name)
 
 
 def _whole_and_covered() -> tuple[Column, Column]:
@@ -451,8 +473,8 @@ def screen_batches(history: DataFrame, incoming: DataFrame, *, key: str = "incom
     """Screens the batches in order: ``(batch, key, held_key, held_seq, share, gained)`` of the rows whose text is held already.
 
     ``held_seq`` is -1 for a text of the history, else the key of the earlier row. Null texts, and texts without words,
-    are never held; a row without a batch number belongs to a last batch. The number of batches is expected to be
-    small: each is one round of jobs. An empty history or incoming table gives an empty store or result. With ``path`` the store is kept there; if it exists
+    are never held; a row without a batch number belongs to a last batch. Batches that are small beside the store share
+    a round of jobs (see :meth:`History.screen_all`). An empty history or incoming table gives an empty store or result. With ``path`` the store is kept there; if it exists
     already it is opened and ``history``, which it holds, isn't read.
     """
     spark = history.sparkSession
@@ -460,6 +482,7 @@ def screen_batches(history: DataFrame, incoming: DataFrame, *, key: str = "incom
     if not store.exists:
         store.found(history)
     out = spark.createDataFrame([], f"batch int, {key} long, held_key string, held_seq long, share double, gained array<string>")
-    for number, found in store.screen_all(incoming, batch, key):
-        out = out.unionByName(found.select(F.lit(number).cast("int").alias("batch"), F.col("key").cast("long").alias(key), "held_key", "held_seq", "share", "gained"))
+    for found in store.screen_all(incoming, batch, key):
+        number = F.when(F.col("b") != _LAST_BATCH, F.col("b")).cast("int")
+        out = out.unionByName(found.select(number.alias("batch"), F.col("key").cast("long").alias(key), "held_key", "held_seq", "share", "gained"))
     return out

@@ -278,3 +278,50 @@ def test_matches_behind_lines_that_many_hold_against_brute_force(spark):
     got = run(spark, held, new, head=1)
     best = {i: max(shares(text, t) for t in held + [t for j, _, t in new if j < i]) for i, _, text in new}
     assert set(got) == {i for i, share in best.items() if share >= 0.5} and 10 < len(got) < 40
+
+
+def test_jobs_do_not_multiply_with_the_batches(spark, monkeypatch):
+    """The plans and broadcasts of every round stay with the driver for a while."""
+    written, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name, **how: written.append(name) or write(self, df, name, **how))
+    held, new = [chunk(i) for i in range(10)], [chunk(100 + i) for i in range(6)] + [edited(chunk(3), [0])]
+    assert set(run(spark, held, [(i + 1, 1, t) for i, t in enumerate(new)])) == {7}
+    one = len(written)
+    written.clear()
+    assert set(run(spark, held, [(i + 1, i, t) for i, t in enumerate(new)])) == {7}
+    assert len(written) == one
+
+
+@pytest.mark.parametrize("part_rows", [500_000, 60])
+def test_batches_of_one_round_are_held_in_their_order(spark, tmp_path, part_rows):
+    """Against brute force and batches one by one: numbers that run against the batches, copies in several, other line breaks, rows without a batch."""
+    r = random.Random(part_rows)
+    held = ["stock line\n" + chunk(i, 8) for i in range(12)]
+    seen, rows = list(held), []
+    for b in (1, 2, 3, 4, None):
+        for i in range(7):
+            text = "stock line\n" + chunk(f"{b} {i}", 8) if i < 3 else r.choice(seen)
+            if i in (3, 4):
+                text = edited(text, r.sample(range(1, 9), 2 + i // 4))
+            elif i == 5:
+                text = text.replace(" = ", "\n= ") if r.random() < 0.7 else text
+            rows.append((1000 - 100 * (b or 5) + i, b, text))
+            seen.append(text)
+    rows += [(5, 4, chunk("4 0", 8).replace(" = ", "\n= ")), (6, 2, edited(chunk("1 1", 8), [1]) + "\nstock line")]
+    rows.sort(key=lambda x: (x[1] or 5, x[0]))
+    best = {}
+    for k, (i, b, text) in enumerate(rows):
+        before = held + [t for _, _, t in rows[:k]]
+        best[i] = max(1.0 if class_of(word_lines(t)) == class_of(word_lines(text)) else shares(text, t) for t in before)
+    wanted = {i: pytest.approx(share) for i, share in best.items() if share >= 0.5}
+    assert 15 < len(wanted) < len(rows) - 10
+    got = run(spark, held, r.sample(rows, len(rows)), head=2, part_rows=part_rows)
+    assert {i: x.share for i, x in got.items()} == wanted
+    assert {i: x.batch for i, x in got.items()} == {i: b for i, b, _ in rows if i in wanted}
+    chunks, _ = frames(spark, held, rows[:1])
+    store, alone = History(spark, f"file://{tmp_path}/store", head=2, part_rows=part_rows), {}
+    store.found(chunks)
+    for b in (1, 2, 3, 4, None):
+        _, batch = frames(spark, [], [x for x in rows if x[1] == b])
+        alone |= {int(x.key): x.share for x in store.screen(batch).collect()}
+    assert alone == wanted
